@@ -2,9 +2,10 @@
 
 Rows are dealt into blocks of equal size. In a block every vector gets a
 coordinate that makes all norms equal (so that the largest inner product is
-the nearest), and m orthogonal projections are each kept as one sorted array. A query opens a
-window around its own projection in every array; virtual rehashing widens the
-windows step by step, and only what a step adds is counted. Vectors that
+the nearest), and m orthogonal projections are each kept as one sorted array, with every
+vector's place in it. A query opens a window around its own projection in every
+array; virtual rehashing widens the windows step by step, and the places inside
+them are counted for each vector. Vectors that
 collide in at least ALPHA * m windows are verified by their exact inner
 product in double precision; widening ends once BETA * n + k were found, or
 when the windows cover the block.
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import for_workers
 
 BLOCK, QUERY_BLOCK = 8_192, 16_384
-PROJECTIONS, ALPHA, BETA, STEP = 64, 0.68, 0.15, 1.25
+PROJECTIONS, ALPHA, BETA = 64, 0.68, 0.15
+#: First half-width of a window in standard deviations of a projection, and the factor of each widening.
+START, STEP = 1.0, 1.2
 
 
 def projections(dim: int, m: int, seed: int = 5) -> np.ndarray:
@@ -50,32 +53,49 @@ class Block:
         unit = np.concatenate([self.x, np.sqrt(np.maximum(0, self.top**2 - norms**2))[:, None]], 1) / self.top
         self.a = projections(unit.shape[1], m)
         p = unit @ self.a
-        self.order = np.ascontiguousarray(np.argsort(p, axis=0, kind="stable").T)
-        self.sorted = np.take_along_axis(p.T, self.order, 1)
-        self.width = 0.5 * float(np.median(p.std(0))) or 1e-9
-
-    def search(self, own: int, q: np.ndarray, k: int, alpha: float = ALPHA, beta: float = BETA) -> tuple[np.ndarray, np.ndarray]:
-        n, m = len(self.ids), len(self.sorted)
+        order = np.argsort(p, axis=0, kind="stable").T
+        self.sorted = np.ascontiguousarray(np.take_along_axis(p.T, order, 1))
+        # each vector's place in each sorted array: a window of places is a comparison
+        self.place = np.empty((m, len(ids)), np.uint16 if len(ids) < 65_536 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None], 1)
+        self.width = START * float(np.median(p.std(0))) or 1e-9
+
+    def search(self, own: np.ndarray, q: np.ndarray, k: int, alpha: float = ALPHA, beta: float = BETA) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (its key and vector) the keys and products of the best k of the block."""
+        n, m, kind = len(self.ids), len(self.sorted), self.place.dtype
         need, least = min(n, int(beta * n) + k + 1), int(np.ceil(alpha * m))
-        at = np.concatenate([q, [0.0]]) @ self.a / (np.sqrt((q**2).sum()) or 1.0)
-        counts, w = np.zeros(n, np.int16), self.width
-        lo = hi = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at, strict=True)])
-        while True:
-            new_lo = np.array([s.searchsorted(v) for s, v in zip(self.sorted, at - w, strict=True)])
-            new_hi = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, at + w, strict=True)])
-            for i in range(m):
-                o = self.order[i]
-                counts[o[new_lo[i] : lo[i]]] += 1  # a projection holds each vector once
-                counts[o[hi[i] : new_hi[i]]] += 1
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero(counts >= least)
-            if len(found) >= need or (hi - lo).min() >= n:
-                break
-            w *= STEP
-        found = found[self.ids[found] != own]
-        score = (self.x[found] * q).sum(1)
-        best = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found][best], score[best]
+        norms = np.sqrt((q**2).sum(1))[:, None]
+        at = np.ascontiguousarray((np.concatenate([q, np.zeros((len(q), 1))], 1) / np.where(norms > 0, norms, 1) @ self.a).T)
+        found: list[np.ndarray | None] = [None] * len(q)
+        open_, w = np.arange(len(q)), self.width
+        gap, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
+        counts, total = np.empty(n, np.uint8 if m < 256 else np.uint16), np.add.reduce
+        while len(open_):
+            ends = [(s.searchsorted(v - w), s.searchsorted(v + w, "right")) for s, v in zip(self.sorted, at[:, open_], strict=True)]
+            lo, size = np.array([e[0] for e in ends]), np.array([e[1] - e[0] for e in ends])
+            least_size, lo, size = size.min(0), np.minimum(lo, n - 1).astype(kind), size.astype(kind)
+            more = []
+            for j, query in enumerate(open_):
+                # places below the window wrap around to large numbers
+                np.subtract(self.place, lo[:, j, None], out=gap)
+                np.less(gap, size[:, j, None], out=inside)
+                total(inside.view(np.uint8), axis=0, dtype=counts.dtype, out=counts)
+                hit = np.flatnonzero(counts >= least)
+                if len(hit) >= need or least_size[j] >= n:
+                    found[query] = hit
+                else:
+                    more.append(query)
+            open_, w = np.array(more, np.int64), w * STEP
+        out = []
+        for key, v, hit in zip(own, q, found, strict=True):
+            hit = hit[self.ids[hit] != key]
+            score = np.einsum("ij,j->i", self.x[hit], v)
+            if len(hit) > 4 * k:  # the k-th score and its ties
+                cut = np.partition(score, len(score) - k)[len(score) - k]
+                hit, score = hit[score >= cut], score[score >= cut]
+            best = np.lexsort((self.ids[hit], -score))[:k]
+            out.append((self.ids[hit][best], score[best]))
+        return out
 
 
 def _matrix(t: pa.Table, col: str) -> np.ndarray:
@@ -100,8 +120,8 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
         out: list[list] = [[], [], []]
         if left.num_rows and right.num_rows:
             block = Block(left.column("k").to_numpy(), _matrix(left, "v"))
-            for own, q in zip(right.column("k").to_pylist(), _matrix(right, "v"), strict=True):
-                ids, score = block.search(own, q, k)
+            asked = right.column("k").to_numpy()
+            for own, (ids, score) in zip(asked, block.search(asked, _matrix(right, "v"), k), strict=True):
                 out[0].append(np.full(len(ids), own))
                 out[1].append(ids)
                 out[2].append(score)

@@ -60,7 +60,7 @@ def test_ann_large_block_recall():
     for q in range(0, 6000, 300):
         s = (b.x * b.x[q]).sum(1)
         s[q] = -np.inf
-        hit += len(set(np.argsort(-s)[:20]) & set(b.search(q, b.x[q], 20)[0]))
+        hit += len(set(np.argsort(-s)[:20]) & set(b.search(np.array([q]), b.x[q : q + 1], 20)[0][0]))
     assert hit >= 0.9 * 20 * 20
 
 
@@ -155,6 +155,13 @@ def test_packing_is_lossless_and_tight(spark, small):
     assert packing.pack(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_tokenizer_equals_the_library_at_every_character():
+    tok = packing.loaded(P.path("word_bpe_49k.json"))
+    texts = [f"a{chr(c)}B {chr(c)}{chr(c)} 1{chr(c)}'s {chr(c)}s_" for c in range(0x2100)]
+    want = [e.ids for e in tok.lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode(texts)] == want
+
+
 def test_hilbert_visits_each_cell_once_by_steps_of_one():
     for dims, bits in ((2, 3), (3, 2), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
