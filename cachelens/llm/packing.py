@@ -16,12 +16,13 @@ rows each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ DIMS, BITS, BUCKETS = 4, 8, 4_096
 SORT_ROWS = 200_000
 MEMO = 800_000
 # Characters for which the tokenizer's normaliser and splitter act as lower() and the pattern below; a text with others goes to the tokenizer whole.
-_OTHER = regex.compile("[^\\t\\n\\r -~¡-įı-ň-ſ‐-‧‰-‸]")
-# The splitter of the word-level vocabulary (a fixed value of its file).
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_OTHER = re.compile("[^\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u2030-\u2038]")
+# The vocabulary's splitter for such characters: letters, single digits, contractions, runs of the rest.
+_WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
 
 
 class WordTokenizer:
@@ -49,6 +50,13 @@ class WordTokenizer:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        # words that come from _WORDS are normalised and split already
+        with open(path, encoding="utf-8") as f:
+            plain = json.load(f)
+        plain["normalizer"] = None
+        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.word_lib = Tokenizer.from_str(json.dumps(plain))
+        self.word_lib.encode_special_tokens = True
         self.wide = self.lib.get_vocab_size() > 65_536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.memo: dict[str, bytes] = {}
@@ -66,7 +74,7 @@ class WordTokenizer:
         words = list(new)
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.word_lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memo[w] = self._pack(e.ids)
         get = self.memo.__getitem__
         return [self._pack(self.lib.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
