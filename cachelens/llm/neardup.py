@@ -10,9 +10,9 @@ Jaccard similarity.
 
 Bands of slots give buckets. Rounds link without pairing a whole bucket:
 documents of equal words are one from the start; every bucket then compares its
-members with its centre; what is still of several classes in a bucket is
-compared across classes, where the whole signatures agree enough. All
-comparisons count the multiset overlap exactly; connected links are a class.
+members with its centre; what is still outside of a bucket's largest class meets
+members of that class; what then is of several classes in a bucket is
+compared across classes, where an exact bound allows a link. All comparisons count the multiset overlap exactly; connected links are a class.
 
 Defined results: runs shorter than five words count as one shingle; texts that
 are null or without words are alone in their class; repeated rows are rows each, in one
@@ -33,9 +33,9 @@ from .common import for_workers, stored
 
 WORDS, LEAST = 5, 0.8
 SLOTS, BANDS = 128, 32
-#: Share of agreeing slots below which a pair isn't compared (over five deviations under LEAST).
-AGREE = 0.6
 CENTRES = 4
+#: Turns in which what is left of a bucket meets a member of the bucket's largest class.
+TURNS = 2
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -146,7 +146,7 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(df: DataFrame, name: str = "signed", slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """df's columns within `doc`, with rid, fp1, fp2 (of the words; null without any), bands and sig, as a stored table."""
+    """df's columns within `doc`, with rid, fp1, fp2 (of the words; null without any) and bands, as a stored table."""
     for_workers(df.sparkSession)
     src = df.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("doc"), word_hashes(F.col("text")).alias("w"))
     has = F.size("w") > 0
@@ -157,11 +157,10 @@ def signed(df: DataFrame, name: str = "signed", slots: int = SLOTS, bands: int =
             words, lens = _words(b.column(4))
             best = bag_min_hash(*bags(*shingles(words, lens)), len(lens), slots)
             hashes = band_hashes(best, bands)
-            sig = (mix(best.view(np.uint64)) >> np.uint64(48)).astype(np.uint16).view(np.int16)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1) * a.shape[1], pa.int32()), pa.array(a.reshape(-1))) for a in (hashes, sig)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), *lists], ["rid", "doc", "fp1", "fp2", "bands", "sig"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lens) + 1) * bands, pa.int32()), pa.array(hashes.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), lists], ["rid", "doc", "fp1", "fp2", "bands"])
 
-    schema = f"rid long, doc {src.schema['doc'].dataType.simpleString()}, fp1 long, fp2 long, bands array<long>, sig array<short>"
+    schema = f"rid long, doc {src.schema['doc'].dataType.simpleString()}, fp1 long, fp2 long, bands array<long>"
     return stored(src.mapInArrow(run, schema), name)
 
 
@@ -210,6 +209,47 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).groupBy("id").agg(F.min("label").alias("label"))
 
 
+def _merged(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The classes ca, cb of those pairs a, b that are linked, as class -> smallest class."""
+    pairs = stored(pairs, "across")
+    more = linked(pairs.select("a", "b"), held, least).join(pairs, ["a", "b"])
+    return stored(components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "links")
+
+
+def _across(left: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Links a, b between classes, of rows outside of their bucket's largest class mc with its other rows.
+
+    support is the number of a row's units that any other row of `left` has; an
+    overlap is at most the smaller support of the two, which bounds their
+    similarity. Rows whose own words are too many meet nobody this way. The overlap
+    itself is counted within the join, so that it gives links and not pairs.
+    """
+    ids = left.select("rid").distinct()
+    docs = held.select("rid", F.col("doc.text").alias("t")).join(ids.hint("shuffle_hash"), "rid", "left_semi").select("rid", word_hashes(F.col("t")).alias("w"))
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, lens = _words(b.column(1))
+            rows = units(*shingles(words, lens), len(lens)) if len(lens) else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.view(np.int32) for r in rows], pa.list_(pa.int32()))], ["rid", "u"])
+
+    bag = stored(docs.mapInArrow(codes, "rid long, u array<int>"), "units")
+    each = bag.select("rid", F.explode("u").alias("u"))
+    common = each.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    support = each.join(common, "u").groupBy("rid").agg(F.count("*").alias("s"))
+    able = support.join(bag.select("rid", F.size("u").alias("n")), "rid").where(F.col("s") >= least * F.col("n"))
+    able = stored(left.join(able, "rid"), "able")
+    # only buckets where both sides are left carry units along
+    both = able.groupBy("band", "h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band", "h")
+    full = able.join(both, ["band", "h"], "left_semi").join(bag, "rid")
+    x, y = full.alias("x"), full.where("c <> mc").alias("y")
+    most, sizes = F.least("x.s", "y.s"), F.col("x.n") + F.col("y.n")
+    same = F.size(F.array_intersect("x.u", "y.u"))
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") != F.col("y.c")) & ((F.col("x.c") == F.col("x.mc")) | (F.col("x.c") < F.col("y.c")))
+    meet &= (most >= least * (sizes - most)) & (same >= least * (sizes - same))
+    return x.join(y, meet).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
 def classes(df: DataFrame, key: str = "doc_id", least: float = LEAST, held: DataFrame | None = None) -> DataFrame:
     """rid, key, class_id (smallest key), class_size and first: whether the row is the one that stays."""
     held = signed(df) if held is None else held
@@ -220,23 +260,28 @@ def classes(df: DataFrame, key: str = "doc_id", least: float = LEAST, held: Data
     centre = buckets.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid", F.col("band") % CENTRES), F.col("rid").alias("rid")))["rid"].alias("b")).where("n > 1").drop("n")
     shared = stored(buckets.join(centre, ["band", "h"]), "shared")
     pairs = shared.where("rid <> b").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
-    first = stored(components(linked(pairs, held, least)), "first")
+    maps = [stored(components(linked(pairs, held, least)), "links")]
+
+    def relabel(x: DataFrame, col: str, m: DataFrame) -> DataFrame:
+        return x.join(m.select(F.col("id").alias(col), F.col("label").alias("__l")), col, "left").withColumn(col, F.coalesce("__l", col)).drop("__l")
 
     # what is left: buckets of more than one class
-    of = shared.select("band", "h", "rid").join(first.withColumnRenamed("id", "rid"), "rid", "left").select("band", "h", "rid", F.coalesce("label", "rid").alias("c"))
-    mixed = of.groupBy("band", "h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band", "h")
-    left = of.join(mixed, ["band", "h"], "left_semi").join(held.select("rid", "sig"), "rid")
-    left = stored(left, "left")
-    x, y = left.alias("x"), left.alias("y")
-    agree = F.aggregate(F.zip_with("x.sig", "y.sig", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, i: s + i)
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.c") < F.col("y.c")) & (agree >= int(AGREE * SLOTS)))
-    cross = cross.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
-    cross = stored(cross, "cross")
-    more = linked(cross.select("a", "b"), held, least).join(cross, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    second = components(more)
-
-    label = one.join(first.withColumnRenamed("id", "rid"), "rid", "left").select("fp1", "fp2", F.coalesce("label", "rid").alias("id"))
-    label = label.join(second, "id", "left").select("fp1", "fp2", F.coalesce("label", "id").alias("label"))
+    of = relabel(shared.select("band", "h", "rid", F.col("rid").alias("c")), "c", maps[0])
+    for turn in range(TURNS):
+        per = of.groupBy("band", "h", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid", "band", F.lit(turn)), F.col("rid").alias("rid")))["rid"].alias("b"))
+        main = per.groupBy("band", "h").agg(F.count("*").alias("k"), F.max(F.struct("n", "c", "b")).alias("m")).where("k > 1").select("band", "h", F.col("m.c").alias("mc"), F.col("m.b").alias("b"))
+        of = stored(of.join(main, ["band", "h"]), "mixed")
+        pairs = of.where("c <> mc").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b"), F.greatest("c", "mc").alias("ca"), F.least("c", "mc").alias("cb")).distinct()
+        maps.append(_merged(pairs.dropDuplicates(["a", "b"]), held, least))
+        of = relabel(of.drop("mc", "b"), "c", maps[-1])
+    per = of.groupBy("band", "h", "c").agg(F.count("*").alias("n"))
+    main = per.groupBy("band", "h").agg(F.count("*").alias("k"), F.max(F.struct("n", "c"))["c"].alias("mc")).where("k > 1").drop("k")
+    left = stored(of.join(main, ["band", "h"]), "left")
+    maps.append(stored(components(_across(left, held, least)), "links"))
+
+    label = one.select("fp1", "fp2", F.col("rid").alias("label"))
+    for m in maps:
+        label = relabel(label, "label", m)
     rows = held.select("rid", F.col(f"doc.`{key}`").alias("k"), "fp1", "fp2")
     worded = rows.where("fp1 is not null").join(label, ["fp1", "fp2"]).select("rid", "k", "label")
     worded = stored(worded, "labels")
