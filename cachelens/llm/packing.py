@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,13 @@ from .common import for_workers, stored
 LENGTH = 2_048
 DIMS, BITS, BUCKETS = 4, 8, 4_096
 SORT_ROWS = 200_000
-MEMO = 800_000
+MEMO = 600_000
 # Characters for which the tokenizer's normaliser and splitter act as lower() and the pattern below; a text with others goes to the tokenizer whole.
 _OTHER = re.compile("[^\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u2030-\u2038]")
 # The vocabulary's splitter for such characters: letters, single digits, contractions, runs of the rest.
 _WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+_ASCII_WORDS = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9]+", re.ASCII)
+_ASCII_OTHER = re.compile(r"[^\t\n\r -~]")
 
 
 class WordTokenizer:
@@ -58,15 +61,23 @@ class WordTokenizer:
         self.word_lib = Tokenizer.from_str(json.dumps(plain))
         self.word_lib.encode_special_tokens = True
         self.wide = self.lib.get_vocab_size() > 65_536
+        self.code = "I" if self.wide else "H"
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.memo: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
+
+    @staticmethod
+    def _split(t: str) -> list[str] | None:
+        """The words of a text, or None for the library."""
+        if t.isascii():
+            return None if _ASCII_OTHER.search(t) else _ASCII_WORDS.findall(t.lower())
+        return None if _OTHER.search(t) else _WORDS.findall(t.lower())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [None if _OTHER.search(t) else _WORDS.findall(t.lower()) for t in texts]
+        split = [self._split(t) for t in texts]
         new = set().union(*(s for s in split if s)) - self.memo.keys()
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
