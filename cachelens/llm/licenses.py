@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Licence names, headers and opening sentences, in public wording.
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -60,6 +62,7 @@ def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     base = base.select("k", "t", passages(F.col("t")).alias("p"))
     words = F.greatest(F.size(terms(F.col("t"))), F.lit(1))
     found = base.select("k", words.alias("words"), F.explode(F.transform("p", lambda p: F.struct(F.md5(p).alias("id"), terms(p).alias("w")))).alias("x")).select("k", "words", "x.id", F.col("x.w").alias("w"))
+    found = stored(found, "passages")  # the texts are read once
     # a passage that many texts share is weighed once
     unique = found.groupBy("id").agg(F.first("w").alias("w"), F.count("*").alias("copies"))
     tf = unique.select("id", "copies", F.explode("w").alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
