@@ -188,11 +188,14 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Fits on a bounded sample of the labelled rows that are not held out."""
     light = df.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("k", "lang"), "k")
-    picked = light.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("k").distinct()
-    # picked has at most sample keys for each language
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("lang")).where(F.col("t").isNotNull() & F.col("lang").isNotNull())
+    ranked = light.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    keys = sorted({r["k"] for r in ranked.select("k").collect()})  # at most sample keys for each language
+    if not keys:
+        return Predictor(ByteCnn([]))
+    # a list of keys filters at the scan; the texts of other rows aren't moved
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("lang")).where(F.col("k").isin(keys) & F.col("t").isNotNull() & F.col("lang").isNotNull())
     part = F.substring(F.encode("t", "utf-8"), 1, LENGTH * WINDOWS)
-    got = rows.join(picked, "k", "left_semi").select("k", "lang", part.alias("b")).orderBy("lang", F.xxhash64("k", "b")).limit(64 * sample).collect()
+    got = rows.select("k", "lang", part.alias("b")).orderBy("lang", F.xxhash64("k", "b")).limit(64 * sample).collect()
     labels = sorted({r["lang"] for r in got})
     x, y = [], []
     for r in got:
