@@ -187,11 +187,16 @@ def held_out(key: Column) -> Column:
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Predictor:
     """Fits on a bounded sample of the labelled rows that are not held out."""
     light = df.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("k", "lang"), "k")
-    ranked = light.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
-    keys = sorted({r["k"] for r in ranked.select("k").collect()})  # at most sample keys for each language
-    if not keys:
+    # a threshold on the hash lets about four times the sample of a language pass, so that its ranking stays small
+    counts = {r["lang"]: r["n"] for r in light.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).collect()}
+    if not counts:
         return Predictor(ByteCnn([]))
+    place = F.pmod(F.xxhash64("k", "lang"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    share = F.create_map(*(F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, 4.0 * sample / max(1, n)))))
+    few = light.withColumn("u", place).where(F.col("u") < share[F.col("lang")]).distinct()
+    order = W.partitionBy("lang").orderBy("u", "k")
+    ranked = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    keys = sorted({r["k"] for r in ranked.select("k").collect()})  # at most sample keys for each language
     # a list of keys filters at the scan; the texts of other rows aren't moved
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("lang")).where(F.col("k").isin(keys) & F.col("t").isNotNull() & F.col("lang").isNotNull())
     part = F.substring(F.encode("t", "utf-8"), 1, LENGTH * WINDOWS)
