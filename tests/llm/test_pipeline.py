@@ -39,3 +39,11 @@ def test_stages(spark, tmp_path):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.agg(F.max("sequence_id"), F.sum("length")).first()[1] > 0 and langid.UND == "und"
+
+
+def test_language_stage_rejects_only_what_has_no_language(spark):
+    rows = [(1, "the cat and the dog", "en", "s", 1), (2, "12 34", "en", "s", 1), (3, None, None, "s", None), (4, "", "de", "s", 0), (5, "der Hund und die Katze", "de", "s", 1), (9, "x", None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    keep = lambda x: sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, x, "").collect())
+    assert set(keep(df)) >= {1, 5} and not set(keep(df)) & {2, 3, 4}
+    assert keep(df.withColumn("lang", F.lit(None).cast("string"))) == [1, 5, 9] and keep(df.limit(0)) == []
