@@ -554,3 +554,80 @@ def benchmark_report(spark, d):
     r = policy_comparison(spark, d)
     line = F.format_string("| %s | %d | %d | %s |", "policy", "hits", "evictions", F.concat(F.format_string("%.1f", F.col("hit_ratio") * 100), F.lit("%")))
     return r.select("policy", line.alias("line"))
+
+
+# -- topology views and reports ----------------------------------------------
+@query(f"WITH {RING}, st AS (SELECT 'node-' || i AS node_id, ['HEALTHY', 'SUSPECT', 'DEAD', 'HEALTHY'][i] AS status FROM range(1, 5) t(i)) SELECT count(*) AS nodes, count(*) FILTER (status <> 'DEAD') AS routable, count(*) FILTER (status = 'HEALTHY') AS healthy, (SELECT CAST(round(count(*) / count(DISTINCT node_id)) AS BIGINT) FROM ring) AS virtual_nodes FROM st")
+def cluster_view(spark, d):
+    st = spark.range(1, 5).select(F.concat(F.lit("node-"), "id").alias("node_id"), F.element_at(F.array(*map(F.lit, ("HEALTHY", "SUSPECT", "DEAD", "HEALTHY"))), F.col("id").cast("int")).alias("status"))
+    v = _ring(spark).agg(F.round(F.count("*") / F.countDistinct("node_id")).cast("long").alias("virtual_nodes"))
+    counts = st.agg(F.count("*").alias("nodes"), F.count_if(F.col("status") != "DEAD").alias("routable"), F.count_if(F.col("status") == "HEALTHY").alias("healthy"))
+    return counts.crossJoin(v)  # one row each
+
+
+@query(f"WITH {SNAP}, n AS (SELECT 'node-' || i AS node FROM range(1, 5) t(i)) SELECT node, hits, misses, p99 FROM n LEFT JOIN snaps USING (node)")
+def node_metrics(spark, d):
+    """Every node with its snapshot, null where it didn't report."""
+    n = spark.range(1, 5).select(F.concat(F.lit("node-"), "id").alias("node"))
+    return n.join(_snapshots(spark, d).select("node", "hits", "misses", "p99"), "node", "left")
+
+
+@query("SELECT code, status FROM (VALUES ('KEY_NOT_FOUND', 404), ('VALIDATION_ERROR', 400), ('NODE_UNAVAILABLE', 503), ('NO_HEALTHY_NODES', 503), ('CAPACITY_EXCEEDED', 507), ('OTHER', 500)) t(code, status)")
+def error_status(spark, d):
+    codes = ["KEY_NOT_FOUND", "VALIDATION_ERROR", "NODE_UNAVAILABLE", "NO_HEALTHY_NODES", "CAPACITY_EXCEEDED", "OTHER"]
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, codes))).alias("code")).select("code", src.status_of(F.col("code")).alias("status"))
+
+
+@query(f"WITH {S.STATE} SELECT key, '{{\"key\":\"' || key || '\",\"version\":' || version || ',\"frequency\":' || frequency || ',\"expires_at\":' || coalesce(expires_at::VARCHAR, 'null') || '}}' AS line FROM state")
+def export_entries(spark, d):
+    """Bulk export: a JSON line for each entry, nulls written out."""
+    line = F.to_json(F.struct("key", "version", "frequency", "expires_at"), {"ignoreNullFields": "false"})
+    return state.final_state(_log(spark, d)).select("key", line.alias("line"))
+
+
+@query(f"WITH {S.LOG} SELECT event_id, key, op FROM log WHERE event_id % 100 >= 10")
+def imported_ops(spark, d):
+    """JSON lines, of which a tenth is malformed, read permissively; the malformed ones go."""
+    log = _log(spark, d)
+    raw = log.select(F.when(F.col("event_id") % 100 < 10, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "key", "op"))).alias("line"))
+    got = raw.select(F.from_json("line", "event_id long, key string, op string", {"mode": "PERMISSIVE"}).alias("r")).where("r.event_id is not null")
+    return got.select("r.*")
+
+
+@query(f"WITH {SIG.removeprefix('WITH ')}, dec AS ({DECIDED}), act AS (SELECT *, coalesce(lag(policy) OVER (ORDER BY tick), 'LRU') AS f FROM dec WHERE samples >= 200) SELECT tick, policy AS \"to\" FROM act WHERE policy <> f ORDER BY tick DESC LIMIT 200")
+def switch_history(spark, d):
+    """The newest 200 switches."""
+    return metrics.last_n(signals.switches(_decisions(spark, d)), "tick", 200).select("tick", "to")
+
+
+@query(f"WITH {S.REPLAY}, {RING}, {S.KEYS}, {S.replicas(2)}, alive AS (SELECT r.key, op, hit, CASE WHEN nodes[1] = 'node-2' THEN nodes[2] ELSE nodes[1] END AS target, nodes[1] = 'node-2' AS moved FROM replayed r JOIN reps USING (key)) SELECT target, count(*) AS ops, count(*) FILTER (moved) AS failed_over, count(*) FILTER (hit) AS hits FROM alive GROUP BY target")
+def routed_ops(spark, d):
+    """Operations by the node that takes them while node-2 is dead."""
+    to = ring.route(ring.replicas(_keys(spark, d), _ring(spark), 2), ["node-2"])
+    return _replay(spark, d).join(to, "key").groupBy("target").agg(F.count("*").alias("ops"), F.count_if("failed_over").alias("failed_over"), F.count_if("hit").alias("hits"))
+
+
+@query(f"WITH {S.LOG} SELECT key, count(*) FILTER (op = 'GET') AS reads, count(*) FILTER (op = 'PUT') AS writes FROM log GROUP BY key")
+def stream_key_counters(spark, d):
+    return twins.drained(twins.key_counters(twins.events_stream(spark, d)), "complete")
+
+
+@query(f"WITH {S.LOG}, p AS (SELECT event_id, ts FROM log WHERE op = 'PUT') SELECT event_id FROM p WHERE event_id % 3 <> 0 AND ts <= (SELECT max(ts) FROM p)")
+def stream_ack_join(spark, d):
+    """Writes whose acknowledgement came within the timeout; a third never gets one."""
+    s = twins.events_stream(spark, d).where("op = 'PUT'").select("event_id", "at")
+    a = twins.events_stream(spark, d).where("op = 'PUT' and event_id % 3 <> 0").select(F.col("event_id").alias("ack_id"), (F.col("at") + F.expr("INTERVAL 1 SECOND")).alias("ack_at"))
+    return twins.drained(twins.acknowledged(s, a)).where("ack_id is not null").select("event_id")
+
+
+@query(f"WITH {SNAP} SELECT count(*) AS nodes, '[' || string_agg('{{\"node\":\"' || node || '\",\"hits\":' || hits || '}}', ',' ORDER BY node) || ']' AS report FROM snaps")
+def json_report(spark, d):
+    rows = F.sort_array(F.collect_list(F.struct("node", "hits")))  # a row a node
+    return _snapshots(spark, d).agg(F.count("*").alias("nodes"), F.to_json(rows).alias("report"))
+
+
+@query("SELECT item_id AS seed, 'payload-' || item_id AS payload FROM benchmark")
+def synthetic_values(spark, d):
+    """Values of a seed, as structs that serialise the same way each time."""
+    v = F.struct(F.col("item_id").alias("seed"), F.concat(F.lit("payload-"), "item_id").alias("payload"))
+    return src.table(spark, d, "benchmark").select(v.alias("v")).select("v.*")

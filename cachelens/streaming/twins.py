@@ -11,10 +11,10 @@ from ..sources.log import from_events
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with event time `at`."""
+    """The events table as a stream, with event time `at`. A stream reads folders or patterns; the pattern matches file and folder alike."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    s = spark.readStream.schema(schema).parquet(path if path.endswith("/") else f"{sf_dir}/events.parque[t]")
+    s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     return from_events(s).withColumn("at", F.timestamp_millis("ts"))
 
 
@@ -42,6 +42,11 @@ def last_writes(stream: DataFrame) -> DataFrame:
     return w.groupBy("key").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
 
 
+def key_counters(stream: DataFrame) -> DataFrame:
+    """Reads and writes of each key, kept complete."""
+    return stream.groupBy("key").agg(F.count_if(F.col("op") == "GET").alias("reads"), F.count_if(F.col("op") == "PUT").alias("writes"))
+
+
 def deduplicated(stream: DataFrame, late: str = "40 days") -> DataFrame:
     """At-least-once input made once: repeated event ids within the watermark go."""
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["event_id"])
