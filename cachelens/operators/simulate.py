@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import importable
+
 BOTTOM, SEED_CAP = 5, 32
 
 
@@ -216,6 +218,7 @@ def run(store: Store, rows, switch_at=None) -> tuple:
 
 def simulate(log: DataFrame, policies: list[str], max_entries: int | None = None, max_bytes: int | None = None, switch_at: list | None = None) -> DataFrame:
     """Counters by node and policy. log: node, event_id, ts, key, op, ttl, size_bytes."""
+    importable(log.sparkSession)
     each = log.select("node", "event_id", "ts", "key", "op", "ttl", "size_bytes", F.explode(F.array(*map(F.lit, policies))).alias("policy"))
 
     def one(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -231,11 +234,12 @@ def simulate(log: DataFrame, policies: list[str], max_entries: int | None = None
 def lru_read_through(log: DataFrame, capacity: int) -> DataFrame:
     """Hits of a read-through LRU cache, without a simulator: a read hits if fewer than `capacity` distinct keys came since its key's last access.
 
-    The distance of an access is the count of keys whose latest access falls in between, which a
-    correlated count over one access stream gives exactly.
+    The distance of an access is the count of keys whose latest access falls in between; a Fenwick tree
+    over a node's accesses counts them.
     """
     from pyspark.sql import Window as W
 
+    importable(log.sparkSession)
     a = log.select("node", "key", F.row_number().over(W.partitionBy("node").orderBy("event_id")).alias("seq"))
     a = a.withColumn("prev", F.lag("seq").over(W.partitionBy("node", "key").orderBy("seq")))
 

@@ -612,6 +612,13 @@ def stream_key_counters(spark, d):
     return twins.drained(twins.key_counters(twins.events_stream(spark, d)), "complete")
 
 
+@query(f"WITH {S.REPLAY} SELECT key, count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, count(*) FILTER (expired) AS expirations FROM replayed GROUP BY key")
+def stream_cache_reads(spark, d):
+    """The stateful stream's counts, summed over its micro-batches."""
+    got = twins.drained(twins.cache_reads(twins.events_stream(spark, d)))
+    return got.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("hits", "misses", "expirations")))
+
+
 @query(f"WITH {S.LOG}, p AS (SELECT event_id, ts FROM log WHERE op = 'PUT') SELECT event_id FROM p WHERE event_id % 3 <> 0 AND ts <= (SELECT max(ts) FROM p)")
 def stream_ack_join(spark, d):
     """Writes whose acknowledgement came within the timeout; a third never gets one."""

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import importable
 from ..sources.log import from_events
 
 
@@ -57,3 +60,31 @@ def acknowledged(sent: DataFrame, acks: DataFrame, timeout: str = "5 seconds") -
     a = acks.withWatermark("ack_at", "10 seconds")
     s = sent.withWatermark("at", "10 seconds")
     return s.join(a, F.expr(f"event_id = ack_id AND ack_at >= at AND ack_at <= at + INTERVAL {timeout}"), "leftOuter")
+
+
+def cache_reads(stream: DataFrame) -> DataFrame:
+    """Hits, misses and expirations as a stream, from the state of each key: what time it expires and whether it is there.
+
+    Rows of a micro-batch are taken in the order of their event ids; state is three numbers a key.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        there, expires, version = state.get if state.exists else (False, None, 0)
+        hits = misses = expirations = 0
+        rows = pd.concat(list(parts)).sort_values("event_id")
+        for op, ts, ttl in zip(rows["op"], rows["ts"].tolist(), rows["ttl"].tolist(), strict=True):
+            if op == "PUT":
+                there, expires, version = True, None if pd.isna(ttl) else ts + int(ttl), (version if there else 0) + 1
+            elif op == "DELETE":
+                there = False
+            elif there and (expires is None or expires > ts):
+                hits += 1
+            else:
+                expirations += there
+                there, misses = False, misses + 1
+        state.update((there, expires, version))
+        yield pd.DataFrame([(key[0], hits, misses, expirations)], columns=["key", "hits", "misses", "expirations"])
+
+    importable(stream.sparkSession)
+    cols = stream.select("key", "event_id", "op", "ts", "ttl")
+    return cols.groupBy("key").applyInPandasWithState(step, "key string, hits long, misses long, expirations long", "there boolean, expires long, version long", "append", "NoTimeout")
