@@ -57,7 +57,7 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             plain = json.load(f)
         plain["normalizer"] = None
-        plain["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.word_lib = Tokenizer.from_str(json.dumps(plain))
         self.word_lib.encode_special_tokens = True
         self.wide = self.lib.get_vocab_size() > 65_536
@@ -83,10 +83,13 @@ class WordTokenizer:
             self.memo.clear()
             new = set().union(*(s for s in split if s))
         words = list(new)
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            for w, e in zip(part, self.word_lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = self._pack(e.ids)
+        for k in range(0, len(words), 1024):  # one call for many words: the splitter cuts them at the spaces again
+            part = words[k : k + 1024]
+            e = self.word_lib.encode(" ".join(part), add_special_tokens=False)
+            ids, width = self._pack(e.ids), self.dtype.itemsize
+            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * width).tolist()
+            for i, w in enumerate(part):
+                self.memo[w] = ids[ends[i] : ends[i + 1]]
         get = self.memo.__getitem__
         return [self._pack(self.lib.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
