@@ -35,22 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the table behind a DataFrame of stored() when nothing will read it again."""
-    spark = df.sparkSession
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()[:1]}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: Bounds of an Arrow batch. A single longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
-def for_workers(spark: SparkSession, rows: int = 512) -> None:
-    """Settings for Python workers: where they import from, and a bound for the rows of an Arrow batch, so that batches of long texts stay small beside a Python worker's memory."""
+def for_workers(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Settings for Python workers: where they import from, and bounds for the rows and bytes of an Arrow batch, so that batches of long texts stay small beside a Python worker's memory."""
     # Python workers find this package where the driver has it, unless it was shipped (--py-files) or installed.
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
+    if bound <= 0 or bound > size:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def text_or_empty(col: str = "text"):
