@@ -6,8 +6,8 @@ filter keeps its maximum, a softmax follows. A text's probabilities are the
 means over its windows, and all of its bytes lie in some window.
 
 Training takes at most SAMPLE documents of each language, those of the lowest hash
-of their key and language, and at most WINDOWS windows of each; that bound is the only
-one. Prediction folds embedding and filters into one table for each offset.
+of their key and language, and at most WINDOWS windows of each, spread evenly over the
+whole text; that bound is the only one. Prediction folds embedding and filters into one table for each offset.
 
 Defined results: a null text or one without a letter is `und` with score 0;
 equal texts get equal predictions; with no labelled row all are `und`; an empty
@@ -199,7 +199,10 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     keys = sorted({r["k"] for r in ranked.select("k").collect()})  # at most sample keys for each language
     # a list of keys filters at the scan; the texts of other rows aren't moved
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).alias("lang")).where(F.col("k").isin(keys) & F.col("t").isNotNull() & F.col("lang").isNotNull())
-    part = F.substring(F.encode("t", "utf-8"), 1, LENGTH * WINDOWS)
+    body = F.encode("t", "utf-8")
+    free = F.octet_length("t") - LENGTH * WINDOWS  # bytes that no window takes lie between the windows
+    spread = F.concat(*(F.substring(body, F.lit(1 + LENGTH * i) + F.floor(free * i / (WINDOWS - 1)).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS)))
+    part = F.when(free > 0, spread).otherwise(body)
     got = rows.select("k", "lang", part.alias("b")).orderBy("lang", F.xxhash64("k", "b")).limit(64 * sample).collect()
     labels = sorted({r["lang"] for r in got})
     x, y = [], []

@@ -365,6 +365,12 @@ def test_language_id_odd_texts(spark):
     assert langid.identify(docs(spark, ODD).limit(0)).count() == 0
 
 
+def test_training_reads_whole_texts(spark):
+    rows = [(i, "1" * 2_000 + (" zaza zuzu" if i % 2 else " kiki koko") * 300, "zz" if i % 2 else "kk") for i in range(200)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 200 and all(r["lang_pred"] == ("zz" if r["doc_id"] % 2 else "kk") for r in got)
+
+
 def test_network_gradients():
     r = np.random.default_rng(0)
     net = langid.ByteCnn(["a", "b", "c"])
