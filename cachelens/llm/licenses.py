@@ -106,9 +106,12 @@ def inherit(files: DataFrame, own: DataFrame, key: str, path: str = "path") -> D
 
 
 def document_paths(df: DataFrame) -> DataFrame:
-    """A tree for documents: source, then groups of a thousand and of ten by doc_id."""
+    """A tree for documents: source, thousands and two hundreds by doc_id. By a hash of doc_id one of 16 lies in the source's directory, three in that of the thousands, the rest below."""
     d = F.col("doc_id")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.concat(F.lit("k"), F.floor(d / 1000)), F.concat(F.lit("t"), F.floor(d / 10)), F.concat(d, F.lit(".txt")))
+    depth = F.pmod(F.crc32(d.cast("string").cast("binary")), F.lit(16))
+    thousands = F.when(depth >= 1, F.concat(F.lit("k"), F.floor(d / 1000)))  # concat_ws leaves nulls out
+    hundreds = F.when(depth >= 4, F.concat(F.lit("t"), F.floor(d / 200)))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), thousands, hundreds, F.concat(d, F.lit(".txt")))
     return df.select("doc_id", F.when(d.isNotNull(), path).alias("path"))
 
 

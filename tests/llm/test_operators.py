@@ -124,6 +124,20 @@ def test_every_planted_licence_line(spark):
     assert want and set(own) == set(want) and all(own[k] in v for k, v in want.items())
 
 
+def test_licences_pass_down_the_query_s_own_tree(spark):
+    df = spark.range(0, 8000, 20).selectExpr("id AS doc_id", "'nothing here at all' AS text", "'src0' AS source")
+    path = {r["doc_id"]: r["path"].rsplit("/", 1)[0] for r in licenses.document_paths(df).collect()}
+    assert {d.count("/") for d in path.values()} == {0, 1, 2} and len(path) > 2 * len(set(path.values()))
+    top, mid = min(k for k, d in path.items() if d == "src0"), min(k for k, d in path.items() if d == "src0/k3")
+    text = F.when(F.col("doc_id") == top, "Released under the MIT License.").when(F.col("doc_id") == mid, "Licensed under CC BY-NC 4.0.").otherwise(F.col("text"))
+    got = {r["doc_id"]: r for r in licenses.scan(df.withColumn("text", text)).collect()}
+    for k, d in path.items():
+        if k not in (top, mid):
+            want = ("CC-BY-NC-4.0", "src0/k3") if (d + "/").startswith("src0/k3/") else ("MIT", "src0")
+            assert (got[k]["license"], got[k]["license_dir"], got[k]["origin"]) == (*want, "inherited")
+    assert got[top]["origin"] == got[mid]["origin"] == "own"
+
+
 # 4 ------------------------------------------------------------------------
 def test_packing_is_lossless_and_tight(spark, small):
     from tokenizers import Tokenizer
