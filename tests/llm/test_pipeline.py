@@ -47,3 +47,9 @@ def test_language_stage_rejects_only_what_has_no_language(spark):
     keep = lambda x: sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, x, "").collect())
     assert set(keep(df)) >= {1, 5} and not set(keep(df)) & {2, 3, 4}
     assert keep(df.withColumn("lang", F.lit(None).cast("string"))) == [1, 5, 9] and keep(df.limit(0)) == []
+
+
+def test_language_stage_keeps_a_corpus_of_one_language(spark):
+    rows = [(i, None if i == 5 else "12 34" if i == 6 else f"the cat and the dog went out {i}", "en" if i % 3 else None, "s", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()) == [i for i in range(40) if i not in (5, 6)]
