@@ -9,8 +9,11 @@ words. A forest trained on labelled findings scores them; its trees are one SQL
 Training collects the features of the labelled findings (at most FINDINGS) to the
 driver; scanning never does.
 
+Every occurrence of a candidate is scored among its own neighbours. A value is a secret of
+its text if any of its occurrences is; start and score are those of the first such one.
+
 Defined results: null and empty texts have no finding; a secret repeated in a text is one
-finding with its count; equal texts have equal findings; an empty table gives an
+finding with its count, which takes in its other occurrences, as redact() does; equal texts have equal findings; an empty table gives an
 empty result; the other columns pass through redact() untouched.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 import json
 import random
 import string
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +37,7 @@ CANDIDATE = rf"(?<![{CHARS}])[{CHARS}]{{16,}}+"
 ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>]{8,256})"
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 24
+BLOCK = 512
 #: Words that belong to prose and names rather than to random strings.
 WORDS = (
     "the and for that with this from have not are was you all can her has one our out day get him his how man new now old see two way who boy did its let put say she too use "
@@ -77,22 +82,61 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
     return [x.cast("double") for x in out]
 
 
-def candidates(text: Column) -> Column:
-    """Array of the candidates of a text: secret, start (0-based), count and f, the features."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    runs = F.filter(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda c: c.rlike("[0-9]"))
-    named = F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1))
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def starts(sizes: Column) -> Column:
+    """For each of some sizes, the sum of those before it: by blocks, so that long texts stay cheap."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda a, n: a + n)
+
+    def block(i: Column) -> Column:
+        return F.floor(i / BLOCK).cast("int")
+
+    sums = F.transform(F.sequence(F.lit(0), block(F.size(sizes))), lambda b: total(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))))
+    ups = let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+    return let(ups, lambda u: F.transform(sizes, lambda _, i: F.get(u, block(i)) + total(F.slice(sizes, block(i) * BLOCK + 1, i % BLOCK))))
+
+
+def matches(t: Column, pattern: str, group: int) -> Column:
+    """leads, values and tail of a text, which is leads[0] values[0] leads[1] values[1] ... tail; the pattern ends with its group."""
+    whole, values = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(pattern), F.lit(group))
+    between = F.split(t, pattern, -1)  # one more than there are matches
+    names = F.zip_with(whole, values, lambda w, v: F.left(w, F.length(w) - F.length(v)))
+    cut = F.struct(between.alias("between"), values.alias("values"), names.alias("names"))
+    return let(cut, lambda x: F.struct(F.zip_with(F.slice(x["between"], F.lit(1), F.size(x["values"])), x["names"], lambda b, n: F.concat(b, n)).alias("leads"), x["values"].alias("values"), F.element_at(x["between"], -1).alias("tail")))
 
-    def place(c: Column) -> Column:
-        return F.struct(c.alias("secret"), F.instr(t, c).alias("at"))
 
-    def more(s: Column) -> Column:
-        c, at = s["secret"], s["at"]
-        before = F.substr(t, F.greatest(at - BEFORE, F.lit(1)), F.least(F.lit(BEFORE), at - 1))
-        after = F.substr(t, at + F.length(c), F.lit(AFTER))
-        return F.struct(c.alias("secret"), (at - 1).alias("start"), F.array(*features(c, before, after)).alias("f"))
+def occurrences(t: Column, pattern: str, group: int) -> Column:
+    """Array of secret, start (0-based) and f, the features, for each match of a pattern."""
 
-    return F.transform(F.transform(F.array_distinct(F.concat(runs, named)), place), more)
+    def judged(m: Column) -> Column:
+        leads, values = m["leads"], m["values"]
+
+        def piece(i: Column) -> Column:
+            return F.coalesce(F.concat(F.get(leads, i), F.get(values, i)), F.lit(""))
+
+        def more(c: Column, i: Column, at: Column) -> Column:
+            # values have 8 characters or more: six hold BEFORE, three AFTER
+            before = F.right(F.concat(*(piece(i - k) for k in range(6, 0, -1)), F.get(leads, i)), F.lit(BEFORE))
+            after = F.left(F.concat(*(piece(i + k) for k in range(1, 4)), F.when(i + 3 >= F.size(values), m["tail"]).otherwise("")), F.lit(AFTER))
+            near = F.struct(before.alias("before"), after.alias("after"))
+            return F.struct(c.alias("secret"), (at + F.length(F.get(leads, i))).alias("start"), let(near, lambda n: F.array(*features(c, n["before"], n["after"]))).alias("f"))
+
+        sizes = F.zip_with(leads, values, lambda a, b: F.length(a) + F.length(b))
+        return let(let(sizes, starts), lambda at: F.transform(values, lambda c, i: more(c, i, F.get(at, i))))
+
+    none = F.array().cast("array<struct<secret:string,start:int,f:array<double>>>")
+    return F.when(t.rlike(pattern), let(matches(t, pattern, group), judged)).otherwise(none)
+
+
+def candidates(text: Column) -> Column:
+    """Array of the candidates of a text, one for each occurrence: secret, start (0-based) and f, the features."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return F.concat(occurrences(t, CANDIDATE, 0), occurrences(t, ASSIGNED, 1))
 
 
 # -- the forest ------------------------------------------------------------
@@ -214,8 +258,13 @@ def train(spark: SparkSession, findings: list[dict] | None = None) -> list:
 
 
 def scored(text: Column, trees: list, name: str = "found") -> tuple[Column, Column]:
-    """Two columns to add in turn: the candidates, and those with their scores that count as secrets."""
-    return candidates(text).alias(f"{name}_c"), F.expr(f"filter(transform({name}_c, x -> named_struct('secret', x.secret, 'start', x.start, 'score', round({forest_sql(trees)}, 6))), x -> x.score >= 0.5D)").alias(name)
+    """Two columns to add in turn: the candidates, and of those that count as secrets the first occurrence of each value, with its score."""
+    judged = F.expr(f"filter(transform({name}_c, x -> named_struct('start', x.start, 'secret', x.secret, 'score', round({forest_sql(trees)}, 6))), x -> x.score >= 0.5D)")
+
+    def first(found: Column) -> Column:
+        return let(F.transform(found, lambda x: x["secret"]), lambda names: F.filter(found, lambda x, i: F.array_position(names, x["secret"]) == i + 1))
+
+    return candidates(text).alias(f"{name}_c"), let(F.array_sort(judged), first).alias(name)
 
 
 def _with_found(df: DataFrame, text: str, trees: list, keep: list[Column]) -> DataFrame:

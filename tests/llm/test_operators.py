@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -80,6 +81,26 @@ def test_secrets_found_and_redacted(spark):
     assert secrets.redact(df.limit(0), trees=trees).count() == 0
 
 
+def test_secrets_are_judged_at_every_occurrence(spark):
+    key, short = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", "Xk9$Lq2!vT"
+    texts = [f'commit {key} is the fix, and then, a good while later in this text, token = "{key}" ends', f'sha256: {key} and again commit {key}', f'x{short}y is only a word of this long text here, password = "{short}"', f'{key} ' * 3 + f'token = "{key}"']
+    df = docs(spark, texts)
+    trees = secrets.train(spark)
+    found = {r["doc_id"]: r for r in secrets.scan(df, trees=trees).collect()}
+    assert 0 in found and found[0]["start"] == texts[0].rindex(key) and found[0]["count"] == 2 and 1 not in found
+    assert found[2]["start"] == texts[2].rindex(short) and found[3]["count"] == 4
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, trees=trees).collect()}
+    assert key not in out[0] and key not in out[3] and out[1] == texts[1]
+    # places and neighbours against Python's own matching
+    r = random.Random(5)
+    texts = ["".join(r.choice(("token=", "é", " ", "=", "aB3", '"', "\n", "q" * 9, "7" * 17, "secret: ")) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    texts.append("7" * 17 + " é " + ("7" * 20 + " ") * 1500)
+    for row in docs(spark, texts).select("text", secrets.candidates(F.col("text")).alias("c")).collect():
+        want = [x.span(g) for p, g in ((secrets.CANDIDATE, 0), (secrets.ASSIGNED, 1)) for x in re.finditer(p, row["text"])]
+        assert [(c["start"], c["start"] + len(c["secret"])) for c in row["c"]] == want
+        assert all(row["text"][a:b] == c["secret"] for c, (a, b) in zip(row["c"], want))
+
+
 def test_forest_sql_is_the_forest(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(300, 5)).round(3)
