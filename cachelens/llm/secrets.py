@@ -1,9 +1,9 @@
 """Secret scan with a random forest that removes false positives, in DataFrame functions only.
 
-Candidates are runs of 16 or more key characters that hold a digit, and values
-assigned to a name. Each gets features: length, transitions between classes of
+Candidates are runs of 16 or more key characters, and values assigned to a name, both to
+their end however long. Each gets features: length, transitions between classes of
 characters, shares of digits, of capitals and of hexadecimal digits, distinct characters,
-coverage by dictionary words, signs of a path or address, and the neighbouring
+coverage by dictionary words and frequent pairs of letters, signs of a path or address, and the neighbouring
 words. A forest trained on labelled findings scores them; its trees are one SQL expression.
 
 Training collects the features of the labelled findings (at most FINDINGS) to the
@@ -34,7 +34,7 @@ TREES, DEPTH, LEAF = 15, 6, 4
 CHARS = r"A-Za-z0-9_+/=\-"
 CANDIDATE = rf"(?<![{CHARS}])[{CHARS}]{{16,}}+"
 #: A value in quotes or after = or : behind a name that tells.
-ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>]{8,256})"
+ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>]{8,}+)"
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 BLOCK = 512
@@ -47,7 +47,12 @@ WORDS = (
 GOOD = r"(?i)(token|secret|passw(or)?d|pwd|api[_ -]?key|access[_ -]?key|credential|bearer|auth(orization)?|private[_ -]?key|signing[_ -]?key)\W{0,6}$"
 BAD = r"(?i)(sha\d*|md5|checksum|digest|commit|revision|uuid|guid|hash|etag|card|phone|invoice|order|isbn|id|version|integrity|build)\W{0,6}$"
 
-FEATURES = ("length", "moves", "digits", "capitals", "hex", "distinct", "known", "slashes", "path", "assigned", "quoted", "good", "bad", "only_digits", "uuid", "longest_word")
+FEATURES = ("length", "moves", "digits", "capitals", "hex", "distinct", "known", "slashes", "path", "assigned", "quoted", "good", "bad", "only_digits", "uuid", "longest_word", "pairs")
+#: Frequent pairs of letters in English, German, French and Spanish: words consist of them, random letters don't.
+PAIRS = (
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke "
+    "ei sc ht au eu ck qu ue ui ez je jo ga gu go do du da ag eg ug ap ep up sp fr br gr cr dr cl gl fl tz pf zu ze rd rm rn lt lt nk ft hr ht ib ob ub by my ys if ef af rg rk rl lb lm"
+).split()
 
 
 def features(c: Column, before: Column, after: Column) -> list[Column]:
@@ -78,6 +83,7 @@ def features(c: Column, before: Column, after: Column) -> list[Column]:
         F.when(c.rlike("^[0-9-]+$"), 1).otherwise(0),
         F.when(c.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), 1).otherwise(0),
         longest / n,
+        F.regexp_count(c, F.lit(f"(?i)(?=({'|'.join(PAIRS)}))")) / F.greatest(F.regexp_count(c, F.lit("(?i)(?=[a-z]{2})")), F.lit(1)),
     ]
     return [x.cast("double") for x in out]
 
@@ -209,7 +215,7 @@ def labelled_findings(n: int = 1_200, seed: int = 23) -> list[dict]:
         pre, post = " ".join(word() for _ in range(r.randint(0, 6))), " ".join(word() for _ in range(r.randint(0, 4)))
         if i % 2:
             name = r.choice(("token", "api_key", "API_KEY", "secret", "client_secret", "password", "auth_token", "access key", "Authorization: Bearer", "private_key", "AWS_SECRET_ACCESS_KEY"))
-            value = r.choice((some(hexa, r.choice((32, 40, 64))), some(hexa, 40).upper(), some(b64, r.choice((24, 32, 40))), "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "sk-" + some(alnum, 40), some(alnum, r.randint(16, 28)) + "1"))
+            value = r.choice((some(hexa, r.choice((32, 40, 64))), some(hexa, 40).upper(), some(b64, r.choice((24, 32, 40))), "AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(alnum, 36), "sk-" + some(alnum, 40), some(alnum, r.randint(16, 28)) + "1", "AKIA" + some(string.ascii_uppercase, 16), some(string.ascii_letters, r.randint(16, 40)), some(string.ascii_lowercase, r.randint(20, 40)), ".".join(some(alnum + "-_", k) for k in (36, r.randint(60, 400), 43))))
             q = r.choice(('"', '"', "'", ""))
             sep = r.choice((" = ", " = ", "=", ": ", " "))
             if value[:4] in ("AKIA", "ghp_") or value[:3] == "sk-":
@@ -218,7 +224,7 @@ def labelled_findings(n: int = 1_200, seed: int = 23) -> list[dict]:
                 pre, name, value = pre.upper(), name.upper(), value.upper()
             before, after = f"{pre} {name}{sep}{q}", q + " " + post
         else:
-            kind = r.randrange(10)
+            kind = r.randrange(14)
             if kind == 0:
                 before, value, after = f"{pre} {r.choice(('', 'card ', 'id ', 'order ', 'account '))}", some(string.digits, 16), f" {post}"
             elif kind == 1:
@@ -237,6 +243,15 @@ def labelled_findings(n: int = 1_200, seed: int = 23) -> list[dict]:
                 before, value, after = f"{pre} version ", "-".join(("release", some(string.digits, 4), some(string.digits, 2), some(string.digits, 2), word())), f" {post}"
             elif kind == 8:
                 before, value, after = f"{pre} {r.choice(('password', 'token', 'secret'))} = ", r.choice(("example_password_1", "your-token-here-123", "test_token_sample_1", "changeme_default_1", "path/to/secret/file1", "<see document 1 example>".replace(" ", "_"))), f" {post}"
+            elif kind == 9:  # words without a digit
+                long = "".join(word() for _ in range(r.randint(5, 9)))
+                before, value, after = pre + " ", r.choice((long, long.capitalize(), long.upper())), f"{r.choice(('', ',', '.'))} {post}"
+            elif kind == 10:
+                before, value, after = pre + r.choice((" ", " = ", " import ")), r.choice(("_", "-", "/")).join(word() for _ in range(r.randint(4, 6))) + "ment", f" {post}"
+            elif kind == 11:
+                before, value, after = pre + r.choice((" ", " new ", " class ")), "".join(word().capitalize() for _ in range(r.randint(4, 7))) + "Element", f" {post}"
+            elif kind == 12:
+                before, value, after = pre + r.choice((" ", "")), r.choice("=-_/+") * r.randint(16, 80), f" {post}"
             else:
                 before, value, after = pre + " ", "=" * r.randint(16, 30) + "1" + "-" * r.randint(0, 9), f" {post}"
         out.append({"text": before + value + after, "secret": value, "ok": i % 2 == 1})
