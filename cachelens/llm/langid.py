@@ -5,8 +5,8 @@ and to embeddings; filters of widths 2, 3 and 4 slide over windows of 128 bytes,
 filter keeps its maximum, a softmax follows. A text's probabilities are the
 means over its windows, and all of its bytes lie in some window.
 
-Training takes at most SAMPLE documents of each language, those of the lowest hash
-of their key and language, and at most WINDOWS windows of each, spread evenly over the
+Training takes at most SAMPLE rows of each language, those of the keys with the lowest hash
+of key and language, a row of each key before a second one of any, and at most WINDOWS windows of each, spread evenly over the
 whole text; that bound is the only one. Prediction folds embedding and filters into one table for each offset.
 
 Defined results: a null text or one without a letter is `und` with score 0;
@@ -203,7 +203,11 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     free = F.octet_length("t") - LENGTH * WINDOWS  # bytes that no window takes lie between the windows
     spread = F.concat(*(F.substring(body, F.lit(1 + LENGTH * i) + F.floor(free * i / (WINDOWS - 1)).cast("int"), F.lit(LENGTH)) for i in range(WINDOWS)))
     part = F.when(free > 0, spread).otherwise(body)
-    got = rows.select("k", "lang", part.alias("b")).orderBy("lang", F.xxhash64("k", "b")).limit(64 * sample).collect()
+    # a key with many rows has its turns after the first rows of all others
+    cut = rows.select("k", "lang", part.alias("b")).withColumn("h", F.xxhash64("k", "b"))
+    cut = cut.withColumn("turn", F.row_number().over(W.partitionBy("lang", "k").orderBy("h", "b"))).where(F.col("turn") <= sample)
+    cut = cut.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("turn", "h", "k"))).where(F.col("r") <= sample)
+    got = sorted(cut.select("k", "lang", "h", "b").collect(), key=lambda r: (r["lang"], r["h"]))
     labels = sorted({r["lang"] for r in got})
     x, y = [], []
     for r in got:

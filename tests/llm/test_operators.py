@@ -419,6 +419,16 @@ def test_training_reads_whole_texts(spark):
     assert len(got) == 200 and all(r["lang_pred"] == ("zz" if r["doc_id"] % 2 else "kk") for r in got)
 
 
+def test_training_bounds_each_language_alone(spark):
+    keys = [r["id"] for r in spark.range(4000).where(~langid.held_out(F.col("id"))).limit(140).collect()]
+    rows = [(k, f"text number {i}", f"l{i % 70:02}") for i, k in enumerate(keys)]
+    schema = "doc_id long, text string, lang string"
+    assert len(langid.train(spark.createDataFrame(rows, schema), sample=2).labels) == 70
+    assert len(langid.train(spark.createDataFrame(rows[:70], schema), sample=1).labels) == 70
+    hot = [(keys[0], f"kiki koko {i}", "aa") for i in range(300)] + [(keys[1], "kaka kuku", "aa"), (keys[2], "zaza zuzu", "zz")]
+    assert langid.train(spark.createDataFrame(hot, schema), sample=2).labels == ["aa", "zz"]
+
+
 def test_network_gradients():
     r = np.random.default_rng(0)
     net = langid.ByteCnn(["a", "b", "c"])
