@@ -4,8 +4,10 @@ Passages of a text that hold a licence cue meet an inverted index of template
 terms; their weights are tf * idf, with document frequencies over all passages of the
 corpus and the templates, and the best cosine of LEAST or more names the licence.
 A file with its own passage keeps that licence. Others take that of the nearest
-directory above them that holds a licence file (one whose words are mostly its
-licence passage); directories resolve once, files then join their own directory.
+directory above them that holds a licence file: one whose words are mostly its
+licence passage, or whose whole text is like one of license_texts (cosine WHOLE_LEAST or more of
+its terms, without a cut at lines or cues; weights by document frequencies over those
+texts); such a match also decides the file's own licence. Directories resolve once, files then join their own directory.
 
 Defined results: null and empty texts have no passage; ties go to the smaller licence id;
 a directory with several licence files takes its best, then the smaller id; a file without
@@ -15,6 +17,11 @@ equal results; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +43,12 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain",),
 }
 CUE = r"(?i)licen[sc]e|permission (?:is|to)|redistribution|public domain|free software|source code form"
-LEAST, FILE_SHARE = 0.5, 0.5
+LEAST, FILE_SHARE, WHOLE_LEAST = 0.5, 0.5, 0.7
+TERM = r"[^a-z0-9.]+|\.(?![0-9])"
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9.]+|\.(?![0-9])"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), TERM), lambda w: w != "")
 
 
 def passages(text: Column) -> Column:
@@ -54,15 +62,40 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return df.select("license", "variant", F.explode(terms(F.col("text"))).alias("term")).groupBy("license", "variant", "term").agg(F.count("*").alias("tf"))
 
 
+def whole_texts() -> dict[str, str]:
+    """Whole licence texts by licence."""
+    return {f.name.removesuffix(".txt"): f.read_text() for f in sorted(resources.files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+def detect_whole(base: DataFrame) -> DataFrame:
+    """k, license and score of the files (k, w: their terms) that are like a whole licence text."""
+    tfs = {lic: Counter(w for w in re.split(TERM, t.lower()) if w) for lic, t in whole_texts().items()}
+    df = Counter(w for tf in tfs.values() for w in tf)
+    idf = {w: math.log1p(len(tfs) / n) for w, n in df.items()}
+    rows = []
+    for lic, tf in tfs.items():
+        b = {w: (1 + math.log(n)) * idf[w] for w, n in tf.items()}
+        norm = math.sqrt(sum(x * x for x in b.values()))
+        rows += [(lic, w, x / norm) for w, x in b.items()]
+    spark = base.sparkSession
+    weights = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    tpl = spark.createDataFrame(rows, "license string, term string, b double")
+    tf = base.select("k", F.explode("w").alias("term")).groupBy("k", "term").agg(F.count("*").alias("tf"))
+    a = tf.join(F.broadcast(weights), "term", "left").select("k", "term", ((1 + F.ln("tf")) * F.coalesce("idf", F.lit(math.log1p(len(tfs))))).alias("a"))  # both: the texts' terms
+    na = a.groupBy("k").agg(F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("na"))
+    dots = a.join(F.broadcast(tpl), "term").groupBy("k", "license").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    cos = dots.join(na.withColumnRenamed("k", "k2"), F.col("k").eqNullSafe(F.col("k2"))).select("k", "license", F.round(F.least(F.col("dot") / F.col("na"), F.lit(1.0)), 6).alias("score"))
+    return cos.where(F.col("score") >= WHOLE_LEAST)
+
+
 def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, license, score and share (of the text's words that lie in licence passages) for keys with a licence of their own."""
     spark = df.sparkSession
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = df.select(F.col(key).alias("k"), t.alias("t")).where(F.col("t").rlike(CUE))
-    base = base.select("k", "t", passages(F.col("t")).alias("p"))
-    words = F.greatest(F.size(terms(F.col("t"))), F.lit(1))
-    found = base.select("k", words.alias("words"), F.explode(F.transform("p", lambda p: F.struct(F.md5(p).alias("id"), terms(p).alias("w")))).alias("x")).select("k", "words", "x.id", F.col("x.w").alias("w"))
-    found = stored(found, "passages")  # the texts are read once
+    base = base.select("k", terms(F.col("t")).alias("w"), F.transform(passages(F.col("t")), lambda p: F.struct(F.md5(p).alias("id"), terms(p).alias("w"))).alias("p"))
+    base = stored(base, "passages")  # the texts are read once
+    found = base.select("k", F.greatest(F.size("w"), F.lit(1)).alias("words"), F.explode("p").alias("x")).select("k", "words", "x.id", F.col("x.w").alias("w"))
     # a passage that many texts share is weighed once
     unique = found.groupBy("id").agg(F.first("w").alias("w"), F.count("*").alias("copies"))
     tf = unique.select("id", "copies", F.explode("w").alias("term")).groupBy("id", "copies", "term").agg(F.count("*").alias("tf"))
@@ -80,7 +113,10 @@ def detect(df: DataFrame, key: str, text: str) -> DataFrame:
     cos = dots.join(na, "id").join(F.broadcast(nb), ["license", "variant"]).select("id", "license", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score")).where(F.col("score") >= LEAST)
     best = cos.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m")).select("id", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
     hit = found.select("k", "words", "id", F.size("w").alias("len")).join(best, "id")
-    return hit.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"), (F.sum("len") / F.max("words")).alias("share")).select(F.col("k").alias(key), F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"), F.least("share", F.lit(1.0)).alias("share"))
+    lines = hit.groupBy("k").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("m"), (F.sum("len") / F.max("words")).alias("share")).select("k", F.lit(1).alias("by"), F.col("m.s").alias("s"), F.col("m.license").alias("license"), "share")
+    whole = detect_whole(base).select("k", F.lit(0).alias("by"), (-F.col("score")).alias("s"), "license", F.lit(1.0).alias("share"))
+    both = whole.unionByName(lines).groupBy("k").agg(F.min(F.struct("by", "s", "license")).alias("m"), F.max("share").alias("share"))
+    return both.select(F.col("k").alias(key), F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"), F.least("share", F.lit(1.0)).alias("share"))
 
 
 def parent(path: Column) -> Column:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -172,6 +173,19 @@ def test_licences_pass_down_the_query_s_own_tree(spark):
     assert got[top]["origin"] == got[mid]["origin"] == "own"
 
 
+def test_whole_licence_files_are_holders(spark):
+    rows, want = [], {}
+    for i, (lic, text) in enumerate(licenses.whole_texts().items()):
+        body = "\n\n".join(textwrap.fill(x, 80) for x in re.split(r"\n\s*\n", text))
+        rows += [(2 * i, f"d{i}/LICENSE", f"Copyright (c) 2024 Some Other Holder and contributors\n\n{body}"), (2 * i + 1, f"d{i}/a/b/x.py", "nothing here")]
+        want |= {2 * i: (lic, "own", None), 2 * i + 1: (lic, "inherited", f"d{i}")}
+    prose = "The cat and the dog of the house went to the market, and there they met all of the people who had come from the other side of the hill. " * 20
+    rows += [(90, "e/README", prose + "Released under the MIT License."), (91, "e/x.py", "nothing here")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["origin"], r["license_dir"]) for r in licenses.inherit(df, licenses.detect(df, "doc_id", "text"), "doc_id").collect()}
+    assert got == want | {90: ("MIT", "own", None), 91: (None, "none", None)} and {"MIT", "BSD-3-Clause", "Apache-2.0", "GPL-3.0"} <= {lic for lic, _, _ in want.values()}
+
+
 # 4 ------------------------------------------------------------------------
 def test_packing_is_lossless_and_tight(spark, small):
     from tokenizers import Tokenizer
