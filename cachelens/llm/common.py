@@ -40,16 +40,18 @@ BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def for_workers(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Settings for Python workers: where they import from, and bounds for the rows and bytes of an Arrow batch, so that batches of long texts stay small beside a Python worker's memory."""
+    """Settings for Python workers: where they import from, and bounds for the rows and bytes of an Arrow batch, so that batches of long texts stay small beside a Python worker's memory. Lower bounds that the session had before stay."""
     # Python workers find this package where the driver has it, unless it was shipped (--py-files) or installed.
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    bound = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))
-    if bound <= 0 or bound > size:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, bound in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key, own = f"spark.sql.execution.arrow.{name}", f"cachelens.own.{name}"
+        if spark.conf.get(own, None) is None:
+            spark.conf.set(own, spark.conf.get(key))
+        was = in_bytes(spark.conf.get(own))
+        spark.conf.set(key, str(min(was, bound) if was > 0 else bound))
 
 
 def text_or_empty(col: str = "text"):

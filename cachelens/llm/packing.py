@@ -9,17 +9,16 @@ last one is padded, and neighbours on the curve share sequences.
 The ids are written once. The sort moves only places and counts; the starts
 come back to the ids by row number.
 
-Defined results: a null text counts as empty and yields the end id alone;
-equal texts share a place and are ordered by row; repeated keys are packed as
-rows each; an empty table gives an empty result.
+Defined results: a null text counts as empty and yields the end id alone; a text of any
+length is cut into as many pieces as it needs; ties on the curve, equal texts among them,
+are ordered by row; repeated keys and repeated rows are packed as rows each; columns
+beside key and text are not read, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,91 +28,29 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import for_workers, stored
+from .wordbpe import loaded
 
 LENGTH = 2_048
 DIMS, BITS, BUCKETS = 4, 8, 4_096
 SORT_ROWS = 200_000
-MEMO = 600_000
-# Characters for which the tokenizer's normaliser and splitter act as lower() and the pattern below; a text with others goes to the tokenizer whole.
-_OTHER = re.compile("[^\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u0148\u014a-\u017f\u2010-\u2027\u2030-\u2038]")
-# The vocabulary's splitter for such characters: letters, single digits, contractions, runs of the rest.
-_WORDS = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
-_ASCII_WORDS = re.compile(r"[a-z]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9]+", re.ASCII)
-_ASCII_OTHER = re.compile(r"[^\t\n\r -~]")
-
-
-class WordTokenizer:
-    """ids of texts by the `tokenizers` library; words are encoded once and kept while memory allows."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
-        # words that come from _WORDS are normalised and split already
-        with open(path, encoding="utf-8") as f:
-            plain = json.load(f)
-        plain["normalizer"] = None
-        plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
-        self.word_lib = Tokenizer.from_str(json.dumps(plain))
-        self.word_lib.encode_special_tokens = True
-        self.wide = self.lib.get_vocab_size() > 65_536
-        self.code = "I" if self.wide else "H"
-        self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.memo: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
-
-    @staticmethod
-    def _split(t: str) -> list[str] | None:
-        """The words of a text, or None for the library."""
-        if t.isascii():
-            return None if _ASCII_OTHER.search(t) else _ASCII_WORDS.findall(t.lower())
-        return None if _OTHER.search(t) else _WORDS.findall(t.lower())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        split = [self._split(t) for t in texts]
-        new = set().union(*(s for s in split if s)) - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*(s for s in split if s))
-        words = list(new)
-        for k in range(0, len(words), 1024):  # one call for many words: the splitter cuts them at the spaces again
-            part = words[k : k + 1024]
-            e = self.word_lib.encode(" ".join(part), add_special_tokens=False)
-            ids, width = self._pack(e.ids), self.dtype.itemsize
-            ends = (np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1)) * width).tolist()
-            for i, w in enumerate(part):
-                self.memo[w] = ids[ends[i] : ends[i + 1]]
-        get = self.memo.__getitem__
-        return [self._pack(self.lib.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
-
-
-_LOADED: dict[str, WordTokenizer] = {}
-
-
-def loaded(path: str) -> WordTokenizer:
-    if path not in _LOADED:
-        _LOADED[path] = WordTokenizer(path)
-    return _LOADED[path]
-
-
+#: Bounds of a batch of texts: larger ones share more words.
+BATCH_ROWS, BATCH_BYTES = 2_048, 8 << 20
 # -- the curve -------------------------------------------------------------
 def projection(seed: int = 3) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(BUCKETS, DIMS)).astype(np.float32)
 
 
-def cells(ids: list[np.ndarray], proj: np.ndarray) -> np.ndarray:
-    """Grid cell of each document: n x DIMS in 0 .. 2**BITS - 1."""
-    lens = np.array([len(i) for i in ids])
-    flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.uint32)
-    rows = proj[(flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS]
-    sums = np.add.reduceat(rows.astype(np.float64), np.concatenate([[0], np.cumsum(lens)[:-1]]), 0)
+def of_ids(size: int, proj: np.ndarray) -> np.ndarray:
+    """The projection of each id of a vocabulary, by the bucket that it hashes to."""
+    ids = np.arange(size, dtype=np.uint64)
+    return proj[(ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % BUCKETS].astype(np.float64)
+
+
+def cells(ids: np.ndarray, lens: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """Grid cell of each document, n x DIMS in 0 .. 2**BITS - 1; the ids lie end to end, none has zero of them."""
+    if not len(lens):
+        return np.zeros((0, DIMS), np.int64)
+    sums = np.add.reduceat(each[ids], np.cumsum(lens) - lens, 0)
     z = sums / np.sqrt(lens)[:, None] / 4.0  # repeated ids widen the sums beyond the unit normal
     return np.clip((1 / (1 + np.exp(-1.7 * z)) * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
 
@@ -149,20 +86,27 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
 def pack(df: DataFrame, tokenizer: str, end_id: int = 1, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """The pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, place."""
     spark = df.sparkSession
-    for_workers(spark)
+    for_workers(spark, BATCH_ROWS, BATCH_BYTES)
     src = df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("k"), df[text].cast("string").alias("t"))
     kind = src.schema["k"].dataType.simpleString()
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, proj = loaded(tokenizer), projection()
-        end = np.array([end_id], tok.dtype).tobytes()
+        tok = loaded(tokenizer)
+        each = of_ids(max(tok.lib.get_vocab_size(), end_id + 1), projection())
         for b in batches:
             if not b.num_rows:
                 continue
-            packed = [i + end for i in tok.encode([t or "" for t in b.column(2).to_pylist()])]
-            ids = [np.frombuffer(i, tok.dtype) for i in packed]
-            place = hilbert(cells(ids, proj))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place), pa.array([len(i) for i in ids], pa.int64()), pa.array(packed, pa.binary())], ["row", "k", "place", "n", "ids"])
+            ids, n = tok.encode(b.column(2))
+            n = n + 1
+            ends = np.cumsum(n)
+            packed = np.full(int(ends[-1]), end_id, tok.dtype)
+            body = np.ones(len(packed), bool)
+            body[ends - 1] = False
+            packed[body] = ids
+            place = hilbert(cells(packed, n, each))
+            at = np.concatenate([[0], ends]) * tok.dtype.itemsize
+            lists = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(place), pa.array(n), lists], ["row", "k", "place", "n", "ids"])
 
     held = stored(src.mapInArrow(tokens, f"row long, k {kind}, place long, n long, ids binary"), "pack-ids")
     rows = held.count()

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import textwrap
@@ -10,10 +11,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cachelens.llm import ann, audio, bpe, langid, licenses, neardup, packing, secrets, sharding, urls
+from cachelens.llm import ann, audio, bpe, langid, licenses, neardup, packing, secrets, sharding, urls, wordbpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, label string, row long, k string"
 
@@ -218,10 +220,38 @@ def test_packing_is_lossless_and_tight(spark, small):
 
 
 def test_tokenizer_equals_the_library_at_every_character():
-    tok = packing.loaded(P.path("word_bpe_49k.json"))
+    tok = wordbpe.WordTokenizer(P.path("word_bpe_49k.json"))
     texts = [f"a{chr(c)}B {chr(c)}{chr(c)} 1{chr(c)}'s {chr(c)}s_" for c in range(0x2100)]
+    r = random.Random(3)
+    alphabet = "abcxyzABC 0123'\n\té ßÀŸſ“—…-_.,!?()«»ïœ漢字\u3000\u00a0\x00ıİŉ²½é"
+    texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(r.choice("thequickab'sr.") for _ in range(r.randint(1, 200))) for _ in range(300)]
+    texts += ["a" * 70, "x" * 500 + " it's", "'s't're", "it's we'll  don't'd", " ", "\t\n", "", "<|endoftext|> hi"]
     want = [e.ids for e in tok.lib.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, tok.dtype).tolist() for x in tok.encode(texts)] == want
+    for size in (len(texts), 7, 1):
+        got = []
+        for k in range(0, len(texts) if size > 1 else 200, size):
+            ids, counts = tok.encode(pa.array(texts[k : k + size]))
+            got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want[: len(got)]
+    ids, counts = tok.encode(pa.array([None, "a", None]))
+    assert counts.tolist() == [0, 1, 0] and ids.tolist() == want_of(tok, "a")
+    ids, counts = tok.encode(pa.array([], pa.string()))
+    assert len(ids) == len(counts) == 0
+
+
+def want_of(tok, text):
+    return tok.lib.encode(text, add_special_tokens=False).ids
+
+
+def test_tokenizer_leaves_other_vocabularies_to_the_library(tmp_path):
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    tok = wordbpe.WordTokenizer(str(tmp_path / "other.json"))
+    ids, counts = tok.encode(pa.array(["Ab cd", None, "E"]))
+    assert ids.tolist() == want_of(tok, "Ab cd") + want_of(tok, "E") and counts.tolist() == [len(want_of(tok, "Ab cd")), 0, len(want_of(tok, "E"))]
 
 
 def test_hilbert_visits_each_cell_once_by_steps_of_one():
