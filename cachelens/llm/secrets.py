@@ -11,10 +11,17 @@ driver; scanning never does.
 
 Every occurrence of a candidate is scored among its own neighbours. A value is a secret of
 its text if any of its occurrences is; start and score are those of the first such one.
+A secret's places in its text are all candidates and all words (runs without spaces,
+quotes and angle brackets) that equal it; within a longer run it is part of another value.
+
+A text is cut into candidates and what lies between them once, and values are looked up by
+their hashes, so that time and memory grow with the text's length, whatever it holds.
 
 Defined results: null and empty texts have no finding; a secret repeated in a text is one
-finding with its count, which takes in its other occurrences, as redact() does; equal texts have equal findings; an empty table gives an
-empty result; the other columns pass through redact() untouched.
+finding with the count of its places, all of which redact() marks; equal texts and repeated rows
+have equal findings, each row its own; of equal scores the first place counts; texts of any length
+are read whole; an empty table gives an empty result; the other columns pass through
+redact() untouched, and scan() does not read them.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ CHARS = r"A-Za-z0-9_+/=\-"
 CANDIDATE = rf"(?<![{CHARS}])[{CHARS}]{{16,}}+"
 #: A value in quotes or after = or : behind a name that tells.
 ASSIGNED = r"(?i)(?:passw(?:or)?d|pwd|secret|token|api[_-]?key|auth)[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?([^\s\"'<>]{8,}+)"
+#: A whole word, where a known secret may stand as well.
+WORD = r"[^\s\"'<>]{8,}+"
 MARK = "[SECRET]"
 BEFORE, AFTER = 48, 24
 BLOCK = 512
@@ -273,13 +282,71 @@ def train(spark: SparkSession, findings: list[dict] | None = None) -> list:
 
 
 def scored(text: Column, trees: list, name: str = "found") -> tuple[Column, Column]:
-    """Two columns to add in turn: the candidates, and of those that count as secrets the first occurrence of each value, with its score."""
-    judged = F.expr(f"filter(transform({name}_c, x -> named_struct('start', x.start, 'secret', x.secret, 'score', round({forest_sql(trees)}, 6))), x -> x.score >= 0.5D)")
+    """Two columns to add in turn: the candidates, and struct secret, start, score of every occurrence that counts as a secret."""
+    judged = F.expr(f"filter(transform({name}_c, x -> named_struct('secret', x.secret, 'start', x.start, 'score', round({forest_sql(trees)}, 6))), x -> x.score >= 0.5D)")
+    return candidates(text).alias(f"{name}_c"), judged.alias(name)
+
+
+def hashed(names: Column) -> Column:
+    """Distinct strings in about the square root of their count of buckets, by hash."""
+    n = F.ceil(F.sqrt(F.size(names))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda b: F.filter(names, lambda x: F.pmod(F.xxhash64(x), F.greatest(n, F.lit(1))) == b))
+
+
+def within(buckets: Column, x: Column) -> Column:
+    return F.array_contains(F.get(buckets, F.pmod(F.xxhash64(x), F.size(buckets)).cast("int")), x)
+
+
+def firsts(rows: Column) -> Column:
+    """Of structs sorted by secret, the first of each, with its place i in the array."""
+    numbered = F.transform(rows, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.filter(numbered, lambda x, i: (i == 0) | (x["x"]["secret"] != F.get(rows, i - 1)["secret"]))
+
+
+def places(t: Column, buckets: Column) -> Column:
+    """Sorted distinct structs secret, start of all places of the secrets in hashed buckets."""
+
+    def of(pattern: str, group: int) -> Column:
+        def at(m: Column) -> Column:
+            sizes = F.zip_with(m["leads"], m["values"], lambda a, b: F.length(a) + F.length(b))
+            return let(let(sizes, starts), lambda s: F.transform(m["values"], lambda v, i: F.struct(v.alias("secret"), (F.get(s, i) + F.length(F.get(m["leads"], i))).alias("start"))))
+
+        return F.filter(let(matches(t, pattern, group), at), lambda x: within(buckets, x["secret"]))
+
+    # array_distinct compares all pairs of structs
+    return let(F.sort_array(F.concat(of(CANDIDATE, 0), of(ASSIGNED, 1), of(WORD, 0))), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1))))
+
+
+def findings(t: Column, found: Column) -> Column:
+    """Array of secret, start, score and count, one for each secret of a text."""
+
+    def counted(p: Column) -> Column:
+        def ends(f: Column) -> Column:
+            return F.transform(f, lambda x, i: F.coalesce(F.get(f, i + 1)["i"], F.size(p)) - x["i"])
+
+        # both are sorted by secret and hold the same ones
+        first = let(F.sort_array(found), firsts)
+        return F.zip_with(first, let(firsts(p), ends), lambda x, n: F.struct(x["x"]["secret"].alias("secret"), x["x"]["start"].alias("start"), x["x"]["score"].alias("score"), n.alias("count")))
+
+    names = F.array_distinct(F.transform(found, lambda x: x["secret"]))
+    none = F.array().cast("array<struct<secret:string,start:int,score:double,count:int>>")
+    return F.when(F.size(found) > 0, let(let(let(names, hashed), lambda b: places(t, b)), counted)).otherwise(none)
+
+
+def marked(t: Column, found: Column) -> Column:
+    """The text with a mark at every place of its secrets: assigned values first, then whole words, then runs."""
+
+    def without(text: Column, buckets: Column, pattern: str, group: int) -> Column:
+        def join(m: Column) -> Column:
+            return F.concat(F.array_join(F.zip_with(m["leads"], m["values"], lambda a, v: F.concat(a, F.when(within(buckets, v), F.lit(MARK)).otherwise(v))), ""), m["tail"])
+
+        return let(matches(text, pattern, group), join)
 
-    def first(found: Column) -> Column:
-        return let(F.transform(found, lambda x: x["secret"]), lambda names: F.filter(found, lambda x, i: F.array_position(names, x["secret"]) == i + 1))
+    def all_of(b: Column) -> Column:
+        return let(let(without(t, b, ASSIGNED, 1), lambda x: without(x, b, WORD, 0)), lambda x: without(x, b, CANDIDATE, 0))
 
-    return candidates(text).alias(f"{name}_c"), let(F.array_sort(judged), first).alias(name)
+    names = F.array_distinct(F.transform(found, lambda x: x["secret"]))
+    return F.when(F.size(found) > 0, let(let(names, hashed), all_of)).otherwise(t)
 
 
 def _with_found(df: DataFrame, text: str, trees: list, keep: list[Column]) -> DataFrame:
@@ -290,19 +357,18 @@ def _with_found(df: DataFrame, text: str, trees: list, keep: list[Column]) -> Da
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", trees: list | None = None) -> DataFrame:
     """key, start, length, count, secret_sha256 and score of each secret."""
     trees = train(df.sparkSession) if trees is None else trees
-    got = _with_found(df, text, trees, [F.col(key).alias("__k")]).where(F.size("__found") > 0).select("__k", "__t", F.explode("__found").alias("s"))
-    times = ((F.length("__t") - F.length(F.replace("__t", F.col("s.secret"), F.lit("")))) / F.length("s.secret")).cast("long")
-    return got.select(F.col("__k").alias(key), F.col("s.start").cast("long").alias("start"), F.length("s.secret").cast("long").alias("length"), times.alias("count"), F.sha2("s.secret", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
+    found = _with_found(df, text, trees, [F.col(key).alias("__k")])
+    # a filter before the explode would be pushed to the scan and judge every text twice
+    got = found.select("__k", F.explode_outer(findings(F.col("__t"), F.col("__found"))).alias("s")).where(F.col("s").isNotNull())
+    return got.select(F.col("__k").alias(key), F.col("s.start").cast("long").alias("start"), F.length("s.secret").cast("long").alias("length"), F.col("s.count").cast("long").alias("count"), F.sha2("s.secret", 256).alias("secret_sha256"), F.col("s.score").alias("score"))
 
 
 def redact(df: DataFrame, text: str = "text", n_chars: str | None = "n_chars", trees: list | None = None) -> DataFrame:
-    """df with every secret of a text replaced by a mark; all rows and columns stay, longer secrets go first."""
+    """df with a mark at every place of a secret; all rows and columns stay."""
     trees = train(df.sparkSession) if trees is None else trees
     names = df.columns
     got = _with_found(df, text, trees, [F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")])
-    order = F.reverse(F.array_sort(F.transform("__found", lambda s: F.struct(F.length(s["secret"]).alias("n"), s["secret"].alias("secret")))))
-    clean = F.when(F.size("__found") > 0, F.aggregate(order, F.col("__t"), lambda t, s: F.replace(t, s["secret"], F.lit(MARK)))).otherwise(F.col("__t"))
-    got = got.select("__row", F.size("__found").alias("__n"), clean.alias("__clean"))
+    got = got.select("__row", F.size("__found").alias("__n"), marked(F.col("__t"), F.col("__found")).alias("__clean"))
 
     def out(c: str) -> Column:
         was = F.col(f"__row.`{c}`")

@@ -6,6 +6,7 @@ import json
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -94,6 +95,7 @@ def test_secrets_are_judged_at_every_occurrence(spark):
     assert found[2]["start"] == texts[2].rindex(short) and found[3]["count"] == 4
     out = {r["doc_id"]: r["text"] for r in secrets.redact(df, trees=trees).collect()}
     assert key not in out[0] and key not in out[3] and out[1] == texts[1]
+    assert found[2]["count"] == 1 and out[2].endswith('password = "[SECRET]"') and out[2].startswith(f"x{short}y")
     # places and neighbours against Python's own matching
     r = random.Random(5)
     texts = ["".join(r.choice(("token=", "é", " ", "=", "aB3", '"', "\n", "q" * 9, "7" * 17, "secret: ")) for _ in range(r.randint(0, 40))) for _ in range(200)]
@@ -104,6 +106,21 @@ def test_secrets_are_judged_at_every_occurrence(spark):
         assert all(row["text"][a:b] == c["secret"] for c, (a, b) in zip(row["c"], want))
 
 
+def test_a_text_of_secrets_takes_time_in_proportion(spark):
+    r = random.Random(8)
+    some = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(20_000)]
+    text = " ".join(f'token = "{x}"' for x in some) + " " + some[7] + f" ({some[9]}), " + some[5] + "q"
+    df = docs(spark, [text, "clean"])
+    trees = secrets.train(spark)
+    began = time.monotonic()
+    found = {r["start"]: r for r in secrets.scan(df, trees=trees).collect()}
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(df, trees=trees).collect()}
+    assert time.monotonic() - began < 60
+    starts = [m.start(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', text)]
+    assert set(starts) <= set(found) and {found[starts[i]]["count"] for i in (7, 9)} == {2} and found[starts[5]]["count"] == 1
+    assert out[1] == "clean" and sum(x in out[0] for x in some if x != some[5]) == 0 and out[0].count("[SECRET]") >= 20_002
+
+
 def test_long_secrets_go_whole_and_letters_are_judged(spark):
     r = random.Random(3)
     some = lambda k: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(k))
