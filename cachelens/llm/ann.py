@@ -2,20 +2,22 @@
 
 Rows are dealt into blocks of equal size. In a block every vector gets a
 coordinate that makes all norms equal (so that the largest inner product is
-the nearest), and m orthogonal projections are each kept as one sorted array, with every
-vector's place in it. A query opens a window around its own projection in every
-array; virtual rehashing widens the windows step by step, and the places inside
-them are counted for each vector. Vectors that
+the nearest), and m orthogonal projections are each kept as one sorted array, cut into
+GRID base buckets of equal counts. A query opens a window around its own projection in every
+array; virtual rehashing widens it, by whole base buckets, along a ladder of widths. What a
+window holds is a bitmap (that of the places below its end without that of the places below its
+start), and a carry-save adder counts the collisions of 64 vectors at once. Vectors that
 collide in at least ALPHA * m windows are verified by their exact inner
-product in double precision; widening ends once BETA * n + k were found, or
-when the windows cover the block.
+product in double precision; the width is the first of the ladder that gives BETA * n + SPARE * k
+of them, found by galloping from the width of the queries before.
 
 Every row is indexed; queries and rows meet block by block. The best k of each
 block meet per query in a ranked window.
 
 Defined results: rows with a null key, and vectors that are null, empty, zero or
 hold null or non-finite components take no part; vectors meet those of their own dimension;
-a query skips rows with its own key; repeated keys count as rows each; ties go to
+a query skips rows with its own key; repeated keys and equal rows count as rows each, and are
+dealt over all blocks; queries of one key are asked together, equal ones once; ties go to
 the smaller key; with fewer candidates than k all are given; columns beside key
 and vector are not read.
 """
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import for_workers
 
-BLOCK, QUERY_BLOCK = 8_192, 16_384
-PROJECTIONS, ALPHA, BETA = 64, 0.68, 0.15
-#: First half-width of a window in standard deviations of a projection, and the factor of each widening.
-START, STEP = 1.0, 1.2
+BLOCK, QUERY_BLOCK = 32_768, 16_384
+PROJECTIONS, ALPHA, BETA, SPARE, GRID = 128, 0.88, 0.03, 8, 64
+#: Widths of windows: the first in standard deviations of a projection, the factor of each widening, and how many; the last one covers all.
+START, STEP, LEVELS = 0.02, 1.02, 288
+#: Queries that are counted together, so that their bitmaps stay in cache.
+TOGETHER = 16
 
 
 def projections(dim: int, m: int, seed: int = 5) -> np.ndarray:
@@ -44,57 +48,124 @@ def projections(dim: int, m: int, seed: int = 5) -> np.ndarray:
     return np.concatenate(out, 1)[:, :m]
 
 
+def added(masks) -> list[np.ndarray]:
+    """Bit planes, lowest first, of how many of some bitmaps hold each bit: a carry-save adder tree."""
+    planes: list[list[np.ndarray]] = [[]]
+
+    def carry(level: int, bits: np.ndarray) -> None:
+        if level == len(planes):
+            planes.append([])
+        planes[level].append(bits)
+
+    def full(level: int) -> None:
+        a, b, c = planes[level]
+        s = a ^ b
+        planes[level] = [s ^ c]
+        carry(level + 1, (a & b) | (s & c))
+
+    for x in masks:
+        carry(0, x)
+        level = 0
+        while len(planes[level]) == 3:
+            full(level)
+            level += 1
+    level = 0
+    while level < len(planes):
+        if len(planes[level]) == 3:
+            full(level)
+        elif len(planes[level]) == 2:
+            a, b = planes[level]
+            planes[level] = [a ^ b]
+            carry(level + 1, a & b)
+        level += 1
+    return [p[0] for p in planes]
+
+
+def at_least(planes: list[np.ndarray], least: int) -> np.ndarray:
+    """Bitmap of the bits whose count is least or more."""
+    if least >> len(planes):
+        return np.zeros_like(planes[0])
+    more, equal = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for k in range(len(planes) - 1, -1, -1):
+        if least >> k & 1:
+            equal &= planes[k]
+        else:
+            more |= equal & planes[k]
+            equal &= ~planes[k]
+    return more | equal
+
+
 class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray, m: int = PROJECTIONS):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        norms = np.sqrt((self.x**2).sum(1))
+        norms, n = np.sqrt((self.x**2).sum(1)), len(ids)
         self.top = float(norms.max()) or 1.0
         unit = np.concatenate([self.x, np.sqrt(np.maximum(0, self.top**2 - norms**2))[:, None]], 1) / self.top
         self.a = projections(unit.shape[1], m)
-        p = unit @ self.a
-        order = np.argsort(p, axis=0, kind="stable").T
-        self.sorted = np.ascontiguousarray(np.take_along_axis(p.T, order, 1))
-        # each vector's place in each sorted array: a window of places is a comparison
-        self.place = np.empty((m, len(ids)), np.uint16 if len(ids) < 65_536 else np.uint32)
-        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None], 1)
-        self.width = START * float(np.median(p.std(0))) or 1e-9
+        p = np.ascontiguousarray((unit @ self.a).T)
+        self.width = START * float(np.median(p.std(1))) or 1e-9
+        order = np.argsort(p, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(p, order, 1)
+        # for each array and bucket bound, the bitmap of the vectors whose place is below it
+        self.bounds = np.unique(np.linspace(0, n, GRID + 1).astype(np.int64))
+        self.below = np.zeros((m, len(self.bounds), -(-n // 64)), np.uint64)
+        place = np.empty(n, np.int64)
+        for j in range(m):
+            place[order[j]] = np.arange(n)
+            for g, bound in enumerate(self.bounds):
+                bits = np.packbits(place < bound, bitorder="little")
+                self.below[j, g].view(np.uint8)[: len(bits)] = bits
+        self.all = self.below[0, -1]
+
+    def hits(self, at: np.ndarray, level: np.ndarray, least: int) -> np.ndarray:
+        """For each query (its projections a column of at) the bitmap of the vectors that collide with it in `least` windows of a level."""
+        w = self.width * STEP**level
+
+        def masks():
+            for j, s in enumerate(self.sorted):
+                lo = np.searchsorted(self.bounds, s.searchsorted(at[j] - w), "right") - 1
+                hi = np.searchsorted(self.bounds, s.searchsorted(at[j] + w, "right"), "left")
+                yield self.below[j, hi] ^ self.below[j, lo]
+
+        out = at_least(added(masks()), least)
+        out[level >= LEVELS - 1] = self.all
+        return out & self.all
 
     def search(self, own: np.ndarray, q: np.ndarray, k: int, alpha: float = ALPHA, beta: float = BETA) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (its key and vector) the keys and products of the best k of the block."""
-        n, m, kind = len(self.ids), len(self.sorted), self.place.dtype
-        need, least = min(n, int(beta * n) + k + 1), int(np.ceil(alpha * m))
+        n, m = len(self.ids), len(self.sorted)
+        need, least = min(n, int(beta * n) + SPARE * k), int(np.ceil(alpha * m))
         norms = np.sqrt((q**2).sum(1))[:, None]
         at = np.ascontiguousarray((np.concatenate([q, np.zeros((len(q), 1))], 1) / np.where(norms > 0, norms, 1) @ self.a).T)
-        found: list[np.ndarray | None] = [None] * len(q)
-        open_, w = np.arange(len(q)), self.width
-        gap, inside = np.empty_like(self.place), np.empty(self.place.shape, bool)
-        counts, total = np.empty(n, np.uint8 if m < 256 else np.uint16), np.add.reduce
-        while len(open_):
-            ends = [(s.searchsorted(v - w), s.searchsorted(v + w, "right")) for s, v in zip(self.sorted, at[:, open_], strict=True)]
-            lo, size = np.array([e[0] for e in ends]), np.array([e[1] - e[0] for e in ends])
-            least_size, lo, size = size.min(0), np.minimum(lo, n - 1).astype(kind), size.astype(kind)
-            more = []
-            for j, query in enumerate(open_):
-                # places below the window wrap around to large numbers
-                np.subtract(self.place, lo[:, j, None], out=gap)
-                np.less(gap, size[:, j, None], out=inside)
-                total(inside.view(np.uint8), axis=0, dtype=counts.dtype, out=counts)
-                hit = np.flatnonzero(counts >= least)
-                if len(hit) >= need or least_size[j] >= n:
-                    found[query] = hit
-                else:
-                    more.append(query)
-            open_, w = np.array(more, np.int64), w * STEP
-        out = []
-        for key, v, hit in zip(own, q, found, strict=True):
-            hit = hit[self.ids[hit] != key]
-            score = np.einsum("ij,j->i", self.x[hit], v)
-            if len(hit) > 4 * k:  # the k-th score and its ties
-                cut = np.partition(score, len(score) - k)[len(score) - k]
-                hit, score = hit[score >= cut], score[score >= cut]
-            best = np.lexsort((self.ids[hit], -score))[:k]
-            out.append((self.ids[hit][best], score[best]))
+        out, guess, self.verified = [], LEVELS // 2, 0
+        for first in range(0, len(q), TOGETHER):
+            part = np.arange(first, min(len(q), first + TOGETHER))
+            # low is too narrow, high is wide enough
+            low, high, step = np.full(len(part), -1), np.full(len(part), LEVELS - 1), np.ones(len(part), np.int64)
+            found = np.broadcast_to(self.all, (len(part), len(self.all))).copy()
+            probe, open_ = np.full(len(part), guess), np.arange(len(part))
+            while len(open_):
+                got = self.hits(at[:, part[open_]], probe[open_], least)
+                enough = np.bitwise_count(got).sum(1) >= need
+                yes, no = open_[enough], open_[~enough]
+                high[yes], low[no], found[yes] = probe[yes], probe[no], got[enough]
+                up, down = (high == LEVELS - 1), (low == -1)
+                probe = np.where(up, np.minimum(low + step, high - 1), np.where(down, np.maximum(high - step, 0), (low + high) // 2))
+                step *= 2
+                open_ = open_[(high - low > 1)[open_]]
+            guess = int(np.median(high))
+            for i, bits in zip(part, found, strict=True):
+                hit = np.flatnonzero(np.unpackbits(bits.view(np.uint8), count=n, bitorder="little"))
+                hit = hit[self.ids[hit] != own[i]]
+                self.verified += len(hit)
+                score = self.x[hit] @ q[i]
+                if len(hit) > 4 * k:  # the k-th score and its ties
+                    cut = np.partition(score, len(score) - k)[len(score) - k]
+                    hit = hit[score >= cut - 1e-9 * max(1.0, abs(cut))]
+                score = np.einsum("ij,j->i", self.x[hit], q[i])  # rounds alike for equal rows
+                best = np.lexsort((self.ids[hit], -score))[:k]
+                out.append((self.ids[hit][best], score[best]))
         return out
 
 
@@ -112,9 +183,9 @@ def nearest(df: DataFrame, is_query: Column, k: int, key: str = "vec_id", vector
     rows = df.select(F.col(key).cast("long").alias("k"), v.alias("v"), is_query.alias("q")).where(usable).withColumn("dim", F.size("v"))
     counted = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     blocks, parts = max(1, -(-counted["n"] // BLOCK)), max(1, -(-counted["q"] // QUERY_BLOCK))
-    # a serial number within the key's hash order isn't needed: hashed keys fill blocks evenly, repeated keys by their vectors
-    data = rows.select("k", "v", "dim", F.pmod(F.xxhash64("k", "v"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
-    ask = rows.where("q").select("k", "v", "dim", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
+    # a row's number deals equal rows over all blocks, too
+    data = rows.select("k", "v", "dim", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    ask = rows.where("q").select("k", "v", "dim").dropDuplicates(["k", "v"]).select("k", "v", "dim", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]

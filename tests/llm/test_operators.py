@@ -67,6 +67,38 @@ def test_ann_large_block_recall():
         s[q] = -np.inf
         hit += len(set(np.argsort(-s)[:20]) & set(b.search(np.array([q]), b.x[q : q + 1], 20)[0][0]))
     assert hit >= 0.9 * 20 * 20
+    assert b.verified <= 0.2 * 6000  # of the last query
+
+
+def test_ann_counts_collisions():
+    r = np.random.default_rng(4)
+    bits = r.random((64, 3, 200)) < 0.6
+    masks = [np.packbits(np.pad(x, ((0, 0), (0, 56))), axis=1, bitorder="little").view(np.uint64) for x in bits]
+    planes = ann.added(masks)
+    for least in (0, 1, 37, 38, 63, 64, 65, 200):
+        got = np.unpackbits(ann.at_least(planes, least).view(np.uint8), axis=1, bitorder="little")[:, :200]
+        assert (got == (bits.sum(0) >= least)).all()
+    # a window is its vectors, widened to whole buckets, and the last level is all
+    x = r.normal(size=(500, 8))
+    b = ann.Block(np.arange(500), x, 16)
+    at = np.concatenate([x[:5], np.zeros((5, 1))], 1) / np.linalg.norm(x[:5], axis=1)[:, None] @ b.a
+    for level in (0, 40, 150):
+        w = b.width * ann.STEP**level
+        got = np.unpackbits(b.hits(at.T, np.full(5, level), 14).view(np.uint8), axis=1, bitorder="little")[:, :500]
+        unit = np.concatenate([x, np.sqrt(np.maximum(0, b.top**2 - (x**2).sum(1)))[:, None]], 1) / b.top
+        want = (np.abs((unit @ b.a)[None] - at[:, None]) <= w).sum(2) >= 14
+        assert (got >= want).all() and got.sum() <= want.sum() + 0.1 * 500 * 5
+    assert np.bitwise_count(b.hits(at.T, np.full(5, ann.LEVELS - 1), 14)).sum() == 5 * 500
+
+
+def test_ann_equal_rows_and_repeated_keys(spark):
+    rows = [(20, [1.0, 2.0])] * 50 + [(i, [1.0, 2.0]) for i in range(1, 400) if i % 20] + [(40, [3.0, 2.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
+    by = {}
+    for x in got:
+        by.setdefault((x["query_id"], x["rank"]), []).append(x["vec_id"])
+    assert [by[20, i] for i in range(1, 4)] == [[40], [1], [2]] and sum(x["query_id"] == 40 for x in got) == 20
+    assert [by[40, i] for i in range(1, 21)] == [[i] for i in range(1, 21)]
 
 
 # 2 ------------------------------------------------------------------------
