@@ -9,9 +9,16 @@ Training takes at most SAMPLE rows of each language, those of the keys with the
 of key and language, a row of each key before a second one of any, and at most WINDOWS windows of each, spread evenly over the
 whole text; that bound is the only one. Prediction folds embedding and filters into one table for each offset.
 
+With noise, one more output stands for what is no language: windows of the sample whose
+symbols are shuffled, uniform symbols, bytes and signs, and random letters of other scripts. A held-out
+sample of the same bound calibrates it: `cut` is such that HELD_SHARE of its rows have less
+noise, and never below SURE, as short clean texts look more like noise than long ones.
+
 Defined results: a null text or one without a letter is `und` with score 0;
-equal texts get equal predictions; with no labelled row all are `und`; an empty
-table gives an empty result.
+equal texts and repeated rows get equal predictions; of equally likely languages the first by
+name is predicted; texts of any length are read whole, in batches of bounded bytes; with no
+labelled row all are `und`; an empty table gives an empty result; columns beside those named are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +36,8 @@ from .common import for_workers
 SAMPLE, WINDOWS = 400, 6
 LENGTH, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
 UND = "und"
+#: Symbols that a window must have to be made noise of, and the share of held-out rows that the calibrated noise stays below.
+NOISE_LEAST, HELD_SHARE, SURE = 24, 0.998, 0.97
 
 
 def byte_classes() -> np.ndarray:
@@ -59,16 +68,37 @@ def windows_of(data: bytes) -> np.ndarray:
     return c[at[:, None] + np.arange(LENGTH)]
 
 
+def noise_of(x: np.ndarray, seed: int = 29) -> np.ndarray:
+    """Windows without a language, of the form of those in x that hold enough symbols."""
+    r = np.random.default_rng(seed)
+    out = x[(x != 0).sum(1) >= NOISE_LEAST][::2].copy()
+    for i, row in enumerate(out):
+        body = np.flatnonzero(row)
+        if i % 5 == 0:
+            row[body] = row[r.permutation(body)]
+        elif i % 5 == 1:
+            row[:] = r.integers(1, 32, LENGTH)
+        elif i % 5 == 2:
+            row[body] = r.integers(32, N_CLASSES, len(body))
+        elif i % 5 == 3:
+            row[:] = r.choice((0, 1, 28, 29, 30, 31), LENGTH)
+        else:
+            start = int(r.integers(0x370, 0xD700))
+            letters = "".join(chr(start + int(k)) if k < 64 else " " for k in r.integers(0, 75, LENGTH))
+            row[:] = CLASSES[np.frombuffer(letters.encode(), np.uint8)[:LENGTH]]
+    return out
+
+
 class ByteCnn:
-    def __init__(self, labels: list[str], seed: int = 7):
+    def __init__(self, labels: list[str], seed: int = 7, noise: bool = False):
         r = np.random.default_rng(seed)
-        self.labels = labels
+        self.labels, self.noise = labels, noise
         self.p = {"emb": r.normal(0, 0.3, (N_CLASSES, EMBED))}
         for w in WIDTHS:
             self.p[f"f{w}"] = r.normal(0, (1 / (w * EMBED)) ** 0.5 * 2, (w, EMBED, FILTERS))
             self.p[f"b{w}"] = np.zeros(FILTERS)
-        self.p["out"] = r.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(labels)))
-        self.p["bias"] = np.zeros(len(labels))
+        self.p["out"] = r.normal(0, 0.2, (len(WIDTHS) * FILTERS, len(labels) + noise))
+        self.p["bias"] = np.zeros(len(labels) + noise)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of one batch of windows."""
@@ -131,6 +161,7 @@ class Predictor:
     """Pairs of classes index joint tables, so that a width costs at most two look-ups a byte."""
 
     def __init__(self, net: ByteCnn):
+        self.cut = SURE
         self.labels, self.out, self.bias = net.labels, net.p["out"].astype(np.float32), net.p["bias"].astype(np.float32)
         t = net.tables()
 
@@ -152,18 +183,23 @@ class Predictor:
             out.append(s / s.sum(1, keepdims=True))
         return np.concatenate(out)
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [UND] * len(texts), [0.0] * len(texts)
+    def means(self, windows: list[np.ndarray]) -> np.ndarray:
+        """Mean probabilities of each text, given as its windows."""
+        p = self.probabilities(np.concatenate(windows))
+        lens = np.array([len(w) for w in windows])
+        return np.stack([part.mean(0) for part in np.split(p, np.cumsum(lens)[:-1])])
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and noise (0 without that output) of each text."""
+        langs, scores, noise = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         group: list[tuple[int, np.ndarray]] = []
+        n = len(self.labels)
 
         def flush():
-            p = self.probabilities(np.concatenate([w for _, w in group]))
-            at = 0
-            for i, w in group:
-                mean = p[at : at + len(w)].mean(0)
-                at += len(w)
-                best = int(mean.argmax())
+            for (i, _), mean in zip(group, self.means([w for _, w in group]), strict=True):
+                best = int(mean[:n].argmax())
                 langs[i], scores[i] = self.labels[best], float(min(1.0, mean[best]))
+                noise[i] = float(min(1.0, mean[n])) if len(mean) > n else 0.0
             group.clear()
 
         held = 0
@@ -177,20 +213,21 @@ class Predictor:
                 held = 0
         if group:
             flush()
-        return langs, scores
+        return langs, scores, noise
 
 
 def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Predictor:
-    """Fits on a bounded sample of the labelled rows that are not held out."""
-    light = df.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
+def sampled(df: DataFrame, held: bool, key: str, text: str, lang: str, sample: int) -> list[tuple[str, np.ndarray]]:
+    """Language and windows of a bounded sample of the labelled rows that are, or are not, held out."""
+    side = held_out(F.col("k")) if held else ~held_out(F.col("k"))
+    light = df.select(F.col(key).alias("k"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("k").isNotNull() & side)
     # a threshold on the hash lets about four times the sample of a language pass, so that its ranking stays small
     counts = {r["lang"]: r["n"] for r in light.groupBy("lang").agg(F.approx_count_distinct("k").alias("n")).collect()}
     if not counts:
-        return Predictor(ByteCnn([]))
+        return []
     place = F.pmod(F.xxhash64("k", "lang"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for c, n in sorted(counts.items()) for x in (c, min(1.0, 4.0 * sample / max(1, n)))))
     few = light.withColumn("u", place).where(F.col("u") < share[F.col("lang")]).distinct()
@@ -208,31 +245,41 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     cut = cut.withColumn("turn", F.row_number().over(W.partitionBy("lang", "k").orderBy("h", "b"))).where(F.col("turn") <= sample)
     cut = cut.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("turn", "h", "k"))).where(F.col("r") <= sample)
     got = sorted(cut.select("k", "lang", "h", "b").collect(), key=lambda r: (r["lang"], r["h"]))
-    labels = sorted({r["lang"] for r in got})
-    x, y = [], []
-    for r in got:
-        if r["b"]:
-            w = windows_of(bytes(r["b"]))
-            x.append(w)
-            y += [labels.index(r["lang"])] * len(w)
-    net = ByteCnn(labels)
-    return Predictor(net.fit(np.concatenate(x), np.array(y)) if x else ByteCnn([]))
+    return [(r["lang"], windows_of(bytes(r["b"])) if r["b"] else np.zeros((0, LENGTH), np.int32)) for r in got]
+
+
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, noise: bool = False) -> Predictor:
+    """Fits on a bounded sample of the labelled rows that are not held out."""
+    got = sampled(df, False, key, text, lang, sample)
+    labels = sorted({c for c, _ in got})
+    if not sum(len(w) for _, w in got):
+        return Predictor(ByteCnn([]))
+    x = np.concatenate([w for _, w in got])
+    y = np.repeat([labels.index(c) for c, _ in got], [len(w) for _, w in got])
+    extra = noise_of(x) if noise else x[:0]
+    net = ByteCnn(labels, noise=len(extra) > 0)
+    model = Predictor(net.fit(np.concatenate([x, extra]), np.concatenate([y, np.full(len(extra), len(labels))])))
+    if len(extra):
+        held = [w for _, w in sampled(df, True, key, text, lang, sample) if len(w)]
+        if held:
+            model.cut = max(SURE, float(np.quantile(model.means(held)[:, -1], HELD_SHARE)))
+    return model
 
 
 def predict_column(df: DataFrame, model: Predictor, keep: list[Column], text: str = "text") -> DataFrame:
-    """keep, lang_pred, score of each row, in one pass without a shuffle."""
+    """keep, lang_pred, score and noise of each row, in one pass without a shuffle."""
     spark = df.sparkSession
     for_workers(spark)
     shared = spark.sparkContext.broadcast(model)  # a few MB of tables, whatever the input
     src = df.select(*keep, df[text].cast("string").alias("__t"))
     names = src.columns[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double, noise double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            langs, scores = m.predict(b.column(len(names)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            langs, scores, noise = m.predict(b.column(len(names)).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(noise, pa.float64())], [*names, "lang_pred", "score", "noise"])
 
     return src.mapInArrow(run, schema)
 

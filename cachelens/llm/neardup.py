@@ -12,12 +12,18 @@ Bands of slots give buckets. Rounds link without pairing a whole bucket:
 documents of equal words are one from the start; every bucket then compares its
 members with its centre; what is still outside of a bucket's largest class meets
 members of that class; what then is of several classes in a bucket is
-compared across classes, where an exact bound allows a link. All comparisons count the multiset overlap exactly; connected links are a class.
+compared across classes, where a bound on the overlap allows a link. All comparisons count the multiset overlap of
+the documents' units (a shingle and its occurrence), as codes of 32 bits, distinct in a document: for
+two of n units n * n / 2**32 of them are expected to agree by chance (0.02 at 10,000 words); connected links are a class.
+
+What a bucket is compared with (its centre, its largest class) is a table of a row a bucket,
+written before the join, so that both sides of the join are plain shuffles and a hot
+bucket's partition is split by adaptive execution; of a bucket only links are emitted.
 
 Defined results: runs shorter than five words count as one shingle; texts that
 are null or without words are alone in their class; repeated rows are rows each, in one
-class; the smallest key of a class names it, null keys last; an empty table gives an
-empty result; other columns stay untouched whatever their names.
+class; the smallest key of a class names it, null keys last; of equal keys the first row stays; texts of
+any length are read whole, in batches of bounded bytes; an empty table gives an empty result; other columns stay untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -114,7 +120,7 @@ def band_hashes(best: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def units(h: np.ndarray, docs: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each document the sorted codes of its units (shingle, occurrence): multisets as sets."""
+    """For each document the sorted distinct codes of its units (shingle, occurrence): multisets as sets."""
     order = np.lexsort((h, docs))
     h, docs = h[order], docs[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (docs[1:] != docs[:-1])]) if len(h) else np.zeros(0, bool)
@@ -122,7 +128,7 @@ def units(h: np.ndarray, docs: np.ndarray, n: int) -> list[np.ndarray]:
     nth = at - np.maximum.accumulate(np.where(new, at, 0)) if len(h) else at
     code = (mix(h + nth.astype(np.uint64) * _MUL[4]) >> np.uint64(32)).astype(np.uint32)
     ends = np.searchsorted(docs, np.arange(n), "right")
-    return [np.sort(c) for c in np.split(code, ends[:-1])]
+    return [np.unique(c) for c in np.split(code, ends[:-1])]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -258,6 +264,7 @@ def classes(df: DataFrame, key: str = "doc_id", least: float = LEAST, held: Data
     buckets = held.select("rid", "bands").join(one.select("rid").hint("shuffle_hash"), "rid", "left_semi").select("rid", F.posexplode("bands").alias("band", "h"))
     buckets = stored(buckets, "buckets")
     centre = buckets.groupBy("band", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid", F.col("band") % CENTRES), F.col("rid").alias("rid")))["rid"].alias("b")).where("n > 1").drop("n")
+    centre = stored(centre, "centres")
     shared = stored(buckets.join(centre, ["band", "h"]), "shared")
     pairs = shared.where("rid <> b").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b")).distinct()
     maps = [stored(components(linked(pairs, held, least)), "links")]
@@ -270,12 +277,14 @@ def classes(df: DataFrame, key: str = "doc_id", least: float = LEAST, held: Data
     for turn in range(TURNS):
         per = of.groupBy("band", "h", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rid", "band", F.lit(turn)), F.col("rid").alias("rid")))["rid"].alias("b"))
         main = per.groupBy("band", "h").agg(F.count("*").alias("k"), F.max(F.struct("n", "c", "b")).alias("m")).where("k > 1").select("band", "h", F.col("m.c").alias("mc"), F.col("m.b").alias("b"))
+        of, main = stored(of, "turn"), stored(main, "main")
         of = stored(of.join(main, ["band", "h"]), "mixed")
         pairs = of.where("c <> mc").select(F.greatest("rid", "b").alias("a"), F.least("rid", "b").alias("b"), F.greatest("c", "mc").alias("ca"), F.least("c", "mc").alias("cb")).distinct()
         maps.append(_merged(pairs.dropDuplicates(["a", "b"]), held, least))
         of = relabel(of.drop("mc", "b"), "c", maps[-1])
     per = of.groupBy("band", "h", "c").agg(F.count("*").alias("n"))
     main = per.groupBy("band", "h").agg(F.count("*").alias("k"), F.max(F.struct("n", "c"))["c"].alias("mc")).where("k > 1").drop("k")
+    of, main = stored(of, "turn"), stored(main, "main")
     left = stored(of.join(main, ["band", "h"]), "left")
     maps.append(stored(components(_across(left, held, least)), "links"))
 

@@ -576,3 +576,18 @@ def test_bpe_tree_on_long_matches(library):
     r = random.Random(1)
     for s in ["a" * 4097, "ab" * 2000, "é" * 777, "thequickbrown" * 300, " " * 999 + "x", "=-" * 1500, *("".join(r.choice(a) for _ in range(3000)) for a in ("aab", "abcdeßé的", "0123456789", "的一是不了"))]:
         assert b.encode(s) == library.encode_ordinary(s) and b.decode(b.encode(s)) == s.encode()
+
+
+def test_noise_is_told_from_languages(spark):
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    noise = [some(letters + " ", 600), some(letters.upper() + "0123456789+/", 600), "".join(chr(r.randrange(0x400, 0x450)) for _ in range(300)), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)), some("{}();=<>[]._0123 \n", 300) + "x"]
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(df, noise=True)
+    got = langid.predict_column(docs(spark, noise), model, [F.col("doc_id")]).collect()
+    assert len(got) == len(noise) and all(x["noise"] > model.cut for x in got)
+    assert langid.predict_column(df, model, [F.col("doc_id")]).where(F.col("noise") > model.cut).count() == 0
+    assert langid.train(df).predict(noise)[2] == [0.0] * len(noise)
+    again = langid.noise_of(langid.windows_of(noise[0].encode()))
+    assert again.shape == (3, langid.LENGTH) and again.min() >= 0 and again.max() < langid.N_CLASSES and len(langid.noise_of(again[:0])) == 0
