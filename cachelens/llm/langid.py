@@ -12,7 +12,8 @@ whole text; that bound is the only one. Prediction folds embedding and filters i
 With noise, one more output stands for what is no language: windows of the sample whose
 symbols are shuffled, uniform symbols, bytes and signs, and random letters of other scripts. A held-out
 sample of the same bound calibrates it: `cut` is such that HELD_SHARE of its rows have less
-noise, and never below SURE, as short clean texts look more like noise than long ones.
+noise, and never below SURE. A text's noise is the mean of its n windows to the power of
+1/n (AGREE at most), as a clean text of one window looks more like noise than a long one.
 
 Defined results: a null text or one without a letter is `und` with score 0;
 equal texts and repeated rows get equal predictions; of equally likely languages the first by
@@ -37,7 +38,7 @@ SAMPLE, WINDOWS = 400, 6
 LENGTH, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 12
 UND = "und"
 #: Symbols that a window must have to be made noise of, and the share of held-out rows that the calibrated noise stays below.
-NOISE_LEAST, HELD_SHARE, SURE = 24, 0.998, 0.97
+NOISE_LEAST, HELD_SHARE, SURE, AGREE = 24, 0.998, 0.97, 16
 
 
 def byte_classes() -> np.ndarray:
@@ -189,6 +190,12 @@ class Predictor:
         lens = np.array([len(w) for w in windows])
         return np.stack([part.mean(0) for part in np.split(p, np.cumsum(lens)[:-1])])
 
+    def noise(self, windows: list[np.ndarray], means: np.ndarray) -> np.ndarray:
+        """Noise of each text; 0 without that output."""
+        if means.shape[1] == len(self.labels):
+            return np.zeros(len(means))
+        return np.minimum(1.0, means[:, -1].astype(np.float64)) ** (1 / np.minimum([len(w) for w in windows], AGREE))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
         """Language, score and noise (0 without that output) of each text."""
         langs, scores, noise = [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
@@ -196,10 +203,11 @@ class Predictor:
         n = len(self.labels)
 
         def flush():
-            for (i, _), mean in zip(group, self.means([w for _, w in group]), strict=True):
+            windows = [w for _, w in group]
+            means = self.means(windows)
+            for (i, _), mean, no in zip(group, means, self.noise(windows, means), strict=True):
                 best = int(mean[:n].argmax())
-                langs[i], scores[i] = self.labels[best], float(min(1.0, mean[best]))
-                noise[i] = float(min(1.0, mean[n])) if len(mean) > n else 0.0
+                langs[i], scores[i], noise[i] = self.labels[best], float(min(1.0, mean[best])), float(no)
             group.clear()
 
         held = 0
@@ -262,7 +270,7 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if len(extra):
         held = [w for _, w in sampled(df, True, key, text, lang, sample) if len(w)]
         if held:
-            model.cut = max(SURE, float(np.quantile(model.means(held)[:, -1], HELD_SHARE)))
+            model.cut = max(SURE, float(np.quantile(model.noise(held, model.means(held)), HELD_SHARE)))
     return model
 
 

@@ -53,3 +53,14 @@ def test_language_stage_keeps_a_corpus_of_one_language(spark):
     rows = [(i, None if i == 5 else "12 34" if i == 6 else f"the cat and the dog went out {i}", "en" if i % 3 else None, "s", 1) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()) == [i for i in range(40) if i not in (5, 6)]
+
+
+def test_language_stage_rejects_noise_and_keeps_the_rest(spark):
+    import random
+
+    r = random.Random(6)
+    noise = [(10**6 + i, "".join(r.choice(a) for _ in range(500)), None, "s", 500) for i, a in enumerate(("abcdefghijklmnopqrstuvwxyz ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "абвгдежзиклмнопрстуфхцчшщэюя"))]
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = df.unionByName(spark.createDataFrame(noise, df.schema))
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+    assert kept == {x["doc_id"] for x in df.where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
