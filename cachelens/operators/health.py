@@ -18,9 +18,9 @@ def timeline(polls: DataFrame, suspect: int = 2, dead: int = 5) -> DataFrame:
 
 def gated(log: DataFrame, outages: DataFrame) -> DataFrame:
     """The log with down: whether its node was killed at the time (start inclusive, end exclusive)."""
-    o = outages.select(F.col("node").alias("o_node"), "start", "end")
-    hit = log.join(o, (F.col("node") == F.col("o_node")) & (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")), "left_semi").select("event_id").withColumn("down", F.lit(True))
-    return log.join(hit, "event_id", "left").withColumn("down", F.coalesce("down", F.lit(False)))
+    per = outages.groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("__outs"))  # a row a node
+    down = F.exists("__outs", lambda o: (F.col("ts") >= o["start"]) & (F.col("ts") < o["end"]))
+    return log.join(per, "node", "left").withColumn("down", F.coalesce(down, F.lit(False))).drop("__outs")
 
 
 def polls_of(log: DataFrame, node: Column, ok: Column, every_ms: int) -> DataFrame:

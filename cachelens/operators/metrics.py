@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import nearest_ranks
+
 POLICIES, STATUSES = ("LRU", "LFU", "TINY_LFU"), ("JOINING", "HEALTHY", "SUSPECT", "DEAD", "LEAVING")
 
 
@@ -15,6 +17,12 @@ def percentiles(x: str) -> list[Column]:
     return [*disc, F.coalesce(F.max(x), F.lit(0.0)).alias("max")]
 
 
+def percentiles_by(df: DataFrame, by: str, x: str) -> DataFrame:
+    """by, p50, p95, p99 and max of x, by nearest rank; 0 without samples."""
+    got = df.select(by).distinct().join(nearest_ranks(df, by, x, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
+    return got.select(by, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("p50", "p95", "p99", "max")))
+
+
 def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
     """The newest n rows, by a top-n that keeps n rows in each task."""
     return df.orderBy(F.desc(order)).limit(n)
@@ -28,7 +36,8 @@ def trailing_rate(df: DataFrame, by: str, ts: str, window_ms: int) -> Column:
 
 def node_snapshots(replayed: DataFrame, seconds: float) -> DataFrame:
     """One snapshot a node from a replayed log with a column node."""
-    df = replayed.groupBy("node").agg(F.count_if("hit").alias("hits"), F.count_if("miss").alias("misses"), F.count("*").alias("n"), F.sum("size_bytes").alias("memory"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY latency_ms)").alias("p99"))
+    df = replayed.groupBy("node").agg(F.count_if("hit").alias("hits"), F.count_if("miss").alias("misses"), F.count("*").alias("n"), F.sum("size_bytes").alias("memory"))
+    df = df.join(nearest_ranks(replayed, "node", "latency_ms", {"p99": 0.99}).drop("max"), "node", "left")
     return df.withColumn("rps", F.round(F.col("n") / F.lit(seconds), 6))
 
 

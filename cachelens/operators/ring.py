@@ -42,11 +42,21 @@ def owners(keys: DataFrame, ring: DataFrame, name: str = "owner") -> DataFrame:
 
 
 def replicas(keys: DataFrame, ring: DataFrame, n: int) -> DataFrame:
-    """key and nodes: the first n distinct nodes clockwise from the key. Resolved once for each arc, then joined."""
-    a, p = ring.select(F.col("hash").alias("at")).distinct(), ring.select("node_id", "hash")
-    near = a.crossJoin(p).groupBy("at", "node_id").agg(F.min(F.pmod(F.col("hash") - F.col("at"), F.lit(M))).alias("d"))  # ring points squared
-    lists = near.groupBy("at").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("d", "node_id"))), lambda s: s["node_id"]), 1, n).alias("nodes"))
-    at = ring.select("node_id", "idx", "hash").join(lists, F.col("hash") == F.col("at")).select(F.concat_ws("#", "node_id", "idx").alias("node_id"), F.lit(0).alias("idx"), "hash", "nodes")
+    """key and nodes: the first n distinct nodes clockwise from the key. Resolved once for each arc, then joined.
+
+    A point looks at the points after it on the ring, laid out twice, as many as it takes: the reach
+    doubles until all have seen n nodes.
+    """
+    size, nodes = ring.agg(F.count("*"), F.countDistinct("node_id")).first()
+    want, reach = min(n, nodes), 8 * max(1, n)
+    laps = ring.select("node_id", "idx", "hash", F.explode(F.array(F.lit(0), F.lit(1))).alias("lap"))
+    while True:
+        ahead = W.orderBy("lap", "hash", "node_id", "idx").rowsBetween(0, min(reach, max(0, size - 1)))  # ring points only
+        lists = laps.withColumn("nodes", F.slice(F.array_distinct(F.collect_list("node_id").over(ahead)), 1, max(1, n))).where("lap = 0")
+        if reach >= size or lists.where(F.size("nodes") < want).isEmpty():
+            break
+        reach *= 2
+    at = lists.select(F.concat_ws("#", "node_id", "idx").alias("node_id"), F.lit(0).alias("idx"), "hash", "nodes")
     return owners(keys, at.select("node_id", "idx", "hash"), "point").join(at.select(F.col("node_id").alias("point"), "nodes"), "point").drop("point")
 
 

@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+from .order import BUCKET, numbered
+
 TICK, HISTORY, ALPHA = 86_400_000, 2_000, 0.25
+#: Ticks that an exponential mean looks back at: (1 - ALPHA) ** REACH is below the precision of a double.
+REACH = 200
 
 
-def samples(replayed: DataFrame, tick_ms: int = TICK) -> DataFrame:
-    """Reads and writes with tick and a gapless seq, numbered within ticks and shifted by the ticks before."""
+def samples(replayed: DataFrame, tick_ms: int = TICK, bucket: int = BUCKET) -> DataFrame:
+    """Reads and writes with tick and a gapless seq, numbered within ranges of event ids."""
     s = replayed.where("op <> 'DELETE'").withColumn("tick", F.floor(F.col("ts") / tick_ms))
-    per = s.groupBy("tick").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("tick")) - F.col("n"))  # a row a tick
-    own = F.row_number().over(W.partitionBy("tick").orderBy("event_id"))
-    return s.withColumn("rn", own).join(per.select("tick", "base"), "tick").withColumn("seq", F.col("base") + F.col("rn")).drop("rn", "base")
+    return numbered(s, bucket=bucket)
 
 
 def gini(counts: Column) -> Column:
@@ -26,34 +29,45 @@ def gini(counts: Column) -> Column:
 
 
 def history(s: DataFrame, size: int = HISTORY) -> DataFrame:
-    """tick, key and count within the last `size` samples at the end of each tick."""
-    ends = s.groupBy(F.col("tick").alias("t")).agg(F.max("seq").alias("e"))  # a row a tick
-    per = s.groupBy("key", "tick", "seq").agg(F.lit(1).alias("one"))
-    return per.join(F.broadcast(ends), (F.col("seq") <= F.col("e")) & (F.col("seq") > F.col("e") - size)).groupBy(F.col("t").alias("tick"), "key").agg(F.count("*").alias("n"))
+    """tick, key and count within the last `size` samples at the end of each tick.
+
+    Samples and the ends of ticks meet by blocks of `size` places: a window lies in two of them.
+    """
+    ends = s.groupBy(F.col("tick").alias("t")).agg(F.max("seq").alias("e"))
+    ends = ends.withColumn("block", F.explode(F.array(F.floor(F.col("e") / size), F.floor(F.col("e") / size) - 1)))
+    near = s.select("key", "seq", F.floor(F.col("seq") / size).alias("block"))
+    in_window = (F.col("seq") <= F.col("e")) & (F.col("seq") > F.col("e") - size)
+    return near.join(ends, "block").where(in_window).groupBy(F.col("t").alias("tick"), "key").agg(F.count("*").alias("n"))
 
 
 def ema(values: Column, alpha: float = ALPHA) -> Column:
-    """Exponential mean of an array in order; the first sample seeds it."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(alpha * x + (1 - alpha) * a))
-
-
-def by_tick(replayed: DataFrame, tick_ms: int = TICK) -> DataFrame:
-    """The signals at the end of each tick that has samples."""
-    s = samples(replayed, tick_ms)
-    num = F.regexp_extract("key", r"(\d+)(?!.*\d)", 1)
-    nums = s.where(num != "").withColumn("num", num.cast("long"))
-    last = nums.groupBy("tick").agg(F.max_by("num", "seq").alias("tail")).withColumn("carry", F.lag("tail").over(W.orderBy("tick")))
-    prev = F.coalesce(F.lag("num").over(W.partitionBy("tick").orderBy("seq")), F.col("carry"))
-    steps = nums.join(last.select("tick", "carry"), "tick").withColumn("step", F.coalesce(F.abs(F.col("num") - prev) == 1, F.lit(False)))
-    seq = steps.groupBy("tick").agg(F.round(F.count_if("step") / F.count("*"), 6).alias("sequential"))
+    """Exponential mean of an array in order. The first value seeds it, 0 if it is null; a later null feeds the mean again."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), F.coalesce(x, F.lit(0.0))).when(x.isNull(), a).otherwise(alpha * x + (1 - alpha) * a))
+
+
+def steps(s: DataFrame) -> DataFrame:
+    """tick, and the share of samples whose key's last number follows that of the sample before by one, up or down."""
+    digits = F.regexp_extract_all("key", F.lit("[0-9]+"), F.lit(0))
+    nums = s.select("tick", "bucket", "seq", F.get(F.reverse(digits), F.lit(0)).cast("long").alias("num")).where("num is not null")
+    last = nums.groupBy("bucket").agg(F.max_by("num", "seq").alias("tail")).withColumn("carry", F.lag("tail").over(W.orderBy("bucket")))  # a row a bucket
+    prev = F.coalesce(F.lag("num").over(W.partitionBy("bucket").orderBy("seq")), F.col("carry"))
+    step = nums.join(last.select("bucket", "carry"), "bucket").withColumn("step", F.coalesce(F.abs(F.col("num") - prev) == 1, F.lit(False)))
+    return step.groupBy("tick").agg(F.round(F.count_if("step") / F.count("*"), 6).alias("sequential"))
+
+
+def by_tick(replayed: DataFrame, tick_ms: int = TICK, bucket: int = BUCKET) -> DataFrame:
+    """The signals at the end of each tick that has samples; one without any would leave all of them as they were."""
+    s = stored(samples(replayed, tick_ms, bucket).select("tick", "bucket", "seq", "key", "op", "hit"), "samples")
     base = s.groupBy("tick").agg(F.count_if("hit").alias("hits"), F.count_if(F.col("op") == "GET").alias("reads"), F.count_if(F.col("op") == "PUT").alias("writes"), F.max("seq").alias("samples"))
-    base = base.select("tick", "samples", F.coalesce(F.try_divide("hits", "reads"), F.lit(0.0)).alias("hit_rate"), (F.col("writes") / (F.col("reads") + F.col("writes"))).alias("write_ratio"))
-    order = W.orderBy("tick")  # a row a tick
+    base = base.select("tick", "samples", F.try_divide("hits", "reads").alias("hit_rate"), (F.col("writes") / (F.col("reads") + F.col("writes"))).alias("write_ratio"))
+    # a row a tick; what lies further back has a weight below rounding
+    recent = W.orderBy("tick").rowsBetween(1 - REACH, 0)
     for c in ("hit_rate", "write_ratio"):
-        base = base.withColumn(f"{c}_ema", F.round(ema(F.collect_list(c).over(order)), 6))
+        fed = F.transform(F.collect_list(F.struct(F.col(c).alias("x"))).over(recent), lambda v: v["x"])  # a list of plain values drops nulls
+        base = base.withColumn(f"{c}_ema", F.round(ema(fed), 6))
     h = history(s).groupBy("tick").agg(F.round(gini(F.collect_list("n")), 6).alias("skew"), F.round(F.count("*") / F.sum("n"), 6).alias("working_set"))
-    out = base.join(h, "tick").join(seq, "tick", "left")
-    return out.select("tick", "samples", F.round("hit_rate", 6).alias("hit_rate"), F.round("write_ratio", 6).alias("write_ratio"), "hit_rate_ema", "write_ratio_ema", "skew", "working_set", F.coalesce("sequential", F.lit(0.0)).alias("sequential"))
+    out = base.join(h, "tick").join(steps(s), "tick", "left")
+    return out.select("tick", "samples", F.round(F.coalesce("hit_rate", F.lit(0.0)), 6).alias("hit_rate"), F.round("write_ratio", 6).alias("write_ratio"), "hit_rate_ema", "write_ratio_ema", "skew", "working_set", F.coalesce("sequential", F.lit(0.0)).alias("sequential"))
 
 
 def decide(memory: Column, sequential: Column, reads: Column, skew: Column, writes: Column) -> tuple[Column, Column]:

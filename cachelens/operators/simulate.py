@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +39,11 @@ class Fifo:
     def victim(self, spared):
         return next((k for k in self.order if k != spared), None)
 
+    def seed(self, entries):
+        """Takes over entries (key, uses, last access) in the order of the store."""
+        for k, _, _ in entries:
+            self.wrote(k)
+
 
 class Lru(Fifo):
     """The longest untouched entry goes."""
@@ -50,6 +56,10 @@ class Lru(Fifo):
 
     read = wrote
 
+    def seed(self, entries):
+        for k, _, _ in sorted(entries, key=lambda e: e[2]):
+            Lru.wrote(self, k)
+
 
 class Lfu:
     """The least used entry goes; among equals the one that reached its count first."""
@@ -68,6 +78,11 @@ class Lfu:
 
     read = wrote
 
+    def seed(self, entries):
+        for k, uses, _ in entries:  # the whole count, in the order of the store
+            self.uses[k] = max(1, uses)
+            self.levels.setdefault(self.uses[k], OrderedDict())[k] = None
+
     def _leave(self, key, n):
         if n and key in self.levels.get(n, ()):
             del self.levels[n][key]
@@ -110,6 +125,9 @@ class TinyLfu(Lru):
 
     def wrote(self, key):
         super().wrote(key)
+        self._count(key)
+
+    def _count(self, key):
         for row, c in zip(self.table, self._cells(key), strict=True):
             row[c] = min(65_535, row[c] + 1)
         self.added += 1
@@ -118,6 +136,12 @@ class TinyLfu(Lru):
 
     read = wrote
 
+    def seed(self, entries):
+        super().seed(entries)
+        for k, uses, _ in entries:
+            for _ in range(min(max(1, uses), SEED_CAP)):
+                self._count(k)
+
     def estimate(self, key):
         return min(row[c] for row, c in zip(self.table, self._cells(key), strict=True))
 
@@ -183,52 +207,87 @@ class Store:
         self.deletes += 1
         return True
 
-    def sweep(self, now):
-        for k in [k for k, e in self.data.items() if e[0] is not None and e[0] <= now]:
+    def sweep(self, now, counted="expirations"):
+        """Drops what has expired and gives how many went."""
+        gone = [k for k, e in self.data.items() if e[0] is not None and e[0] <= now]
+        for k in gone:
             self._drop(k)
-            self.expirations += 1
+        setattr(self, counted, getattr(self, counted) + len(gone))
+        return len(gone)
 
     def switch(self, policy):
-        """A new policy, seeded with the entries by their last access; sketched use is replayed up to a cap."""
-        for k, e in sorted(self.data.items(), key=lambda x: x[1][3]):
-            for _ in range(min(max(1, e[2]), SEED_CAP) if policy.name in ("LFU", "TINY_LFU") else 1):
-                policy.wrote(k)
+        """A new policy, seeded with the entries that are there."""
+        policy.seed([(k, e[2], e[3]) for k, e in self.data.items()])
         self.policy = policy
 
 
 COUNTS = "hits long, misses long, expirations long, evictions long, writes long, deletes long, entries long, bytes long, hit_ratio double, peak_entries long"
 
 
-def run(store: Store, rows, switch_at=None) -> tuple:
-    """Replays rows (ts, key, op, ttl, size) and returns COUNTS. switch_at: (ts, policy) pairs in order."""
-    peak, turns = 0, list(switch_at or ())
-    for ts, key, op, ttl, size in rows:
-        while turns and turns[0][0] <= ts:
-            store.switch(POLICIES[turns.pop(0)[1]]())
+class Run:
+    """A replay of rows (ts, key, op, ttl, size) through a store. switch_at: (ts, policy) pairs in order.
+
+    With sweep_ms, expired entries go at every multiple of it that the rows pass, counted as
+    expirations or, as an offloaded sweep does, as deletes.
+    """
+
+    def __init__(self, store: Store, switch_at=None, sweep_ms: int | None = None, swept_as: str = "expirations"):
+        self.store, self.turns, self.sweep_ms, self.swept_as = store, list(switch_at or ()), sweep_ms, swept_as
+        self.peak, self.swept = 0, None
+
+    def step(self, ts, key, op, ttl, size):
+        store = self.store
+        if self.sweep_ms and self.swept != ts // self.sweep_ms:
+            self.swept = ts // self.sweep_ms
+            store.sweep(self.swept * self.sweep_ms, self.swept_as)
+        while self.turns and self.turns[0][0] <= ts:
+            store.switch(POLICIES[self.turns.pop(0)[1]]())
         if op == "GET":
             store.get(key, ts)
         elif op == "PUT":
             store.put(key, ts, ttl, size)
         else:
             store.delete(key)
-        peak = max(peak, len(store.data))
-    reads = store.hits + store.misses
-    return (store.hits, store.misses, store.expirations, store.evictions, store.writes, store.deletes, len(store.data), store.bytes, round(store.hits / reads, 6) if reads else 0.0, peak)
+        self.peak = max(self.peak, len(store.data))
 
+    def counts(self) -> tuple:
+        """The values of COUNTS."""
+        s = self.store
+        reads = s.hits + s.misses
+        return (s.hits, s.misses, s.expirations, s.evictions, s.writes, s.deletes, len(s.data), s.bytes, round(s.hits / reads, 6) if reads else 0.0, self.peak)
 
-def simulate(log: DataFrame, policies: list[str], max_entries: int | None = None, max_bytes: int | None = None, switch_at: list | None = None) -> DataFrame:
-    """Counters by node and policy. log: node, event_id, ts, key, op, ttl, size_bytes."""
-    importable(log.sparkSession)
-    each = log.select("node", "event_id", "ts", "key", "op", "ttl", "size_bytes", F.explode(F.array(*map(F.lit, policies))).alias("policy"))
 
-    def one(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        ttl = [None if pd.isna(t) else int(t) for t in pdf["ttl"]]
-        rows = zip(pdf["ts"].tolist(), pdf["key"], pdf["op"], ttl, pdf["size_bytes"].tolist(), strict=True)
-        got = run(Store(POLICIES[keys[1]](), max_entries, max_bytes), rows, switch_at)
-        return pd.DataFrame([(*keys, *got)], columns=["node", "policy", *(c.split()[0] for c in COUNTS.split(", "))])
+def run(store: Store, rows, switch_at=None, sweep_ms: int | None = None, swept_as: str = "expirations") -> tuple:
+    """Replays rows and returns COUNTS."""
+    r = Run(store, switch_at, sweep_ms, swept_as)
+    for row in rows:
+        r.step(*row)
+    return r.counts()
+
 
-    return each.groupBy("node", "policy").applyInPandas(one, f"node string, policy string, {COUNTS}")
+def simulate(log: DataFrame, policies: list[str], max_entries: int | None = None, max_bytes: int | None = None, switch_at: list | None = None, sweep_ms: int | None = None, swept_as: str = "expirations") -> DataFrame:
+    """Counters by node and policy. log: node, event_id, ts, key, op, ttl, size_bytes.
+
+    A partition holds whole nodes, sorted by event; it streams through in batches, every policy's store takes
+    each row, and only the entries of the node at hand are in memory.
+    """
+    importable(log.sparkSession)
+    rows = log.select("node", "event_id", "ts", "key", "op", "ttl", "size_bytes").repartition("node").sortWithinPartitions("node", "event_id")
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def lines():
+            for pdf in batches:
+                ttl = [None if pd.isna(t) else int(t) for t in pdf["ttl"]]
+                yield from zip(pdf["node"], pdf["ts"].tolist(), pdf["key"], pdf["op"], ttl, pdf["size_bytes"].tolist(), strict=True)
+
+        for node, part in groupby(lines(), key=lambda r: r[0]):
+            runs = [Run(Store(POLICIES[p](), max_entries, max_bytes), switch_at, sweep_ms, swept_as) for p in policies]
+            for _, *row in part:
+                for r in runs:
+                    r.step(*row)
+            yield pd.DataFrame([(node, p, *r.counts()) for p, r in zip(policies, runs, strict=True)], columns=["node", "policy", *(c.split()[0] for c in COUNTS.split(", "))])
+
+    return rows.mapInPandas(replay, f"node string, policy string, {COUNTS}")
 
 
 def lru_read_through(log: DataFrame, capacity: int) -> DataFrame:

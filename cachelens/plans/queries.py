@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.hashing import fnv1a, ring_hash
-from ..operators import health, metrics, replication, ring, signals, simulate, sketch, state
+from ..operators import faults, health, metrics, replication, ring, signals, simulate, sketch, state
+from ..operators.order import numbered
+from ..session import scratch_path, stored
 from ..sources import log as src
 from ..sources import snapshots, workloads
 from ..streaming import twins
@@ -102,9 +104,18 @@ def storage_stats(spark, d):
 @query(f"WITH {S.STATE} SELECT key, min_by(key, last_accessed_at) OVER () IS NOT NULL AS tracked, row_number() OVER (ORDER BY last_accessed_at, key) AS lru_rank, row_number() OVER (ORDER BY frequency, created_at, key) AS lfu_rank, row_number() OVER (ORDER BY created_at, key) AS fifo_rank FROM state ORDER BY lru_rank LIMIT 5")
 def eviction_candidates(spark, d):
     """The five entries that the recency policy gives up first, with their rank under each policy."""
-    s = state.final_state(_log(spark, d))
-    r = lambda *c: F.row_number().over(W.orderBy(*c))
-    return s.select("key", F.lit(True).alias("tracked"), r("last_accessed_at", "key").alias("lru_rank"), r("frequency", "created_at", "key").alias("lfu_rank"), r("created_at", "key").alias("fifo_rank")).orderBy("lru_rank").limit(5)
+    s = stored(state.final_state(_log(spark, d)).select("key", "last_accessed_at", "frequency", "created_at"), "entries")
+    orders = {"lru": ("last_accessed_at", "key"), "lfu": ("frequency", "created_at", "key"), "fifo": ("created_at", "key")}
+    first = s.orderBy(*orders["lru"]).limit(5).collect()  # five rows
+    if not first:
+        return s.select("key", F.lit(True).alias("tracked"), *(F.lit(0).alias(f"{n}_rank") for n in orders))
+
+    def rank(row, cols):
+        """One more than the entries that come before a row."""
+        return (F.count_if(F.struct(*cols) < F.struct(*(F.lit(row[c]).cast(s.schema[c].dataType).alias(c) for c in cols))) + 1).cast("int")
+
+    ranks = [F.struct(F.lit(r["key"]).alias("key"), F.lit(True).alias("tracked"), *(rank(r, c).alias(f"{n}_rank") for n, c in orders.items())) for r in first]
+    return s.agg(F.array(*ranks).alias("r")).select(F.inline("r"))
 
 
 # -- metrics ---------------------------------------------------------------
@@ -114,7 +125,7 @@ PLACED = f"{S.ring('ring', S.NODES3)}, {S.KEYS}, {S.owner('own', 'ring')}"
 
 @query(f"WITH {S.LOG}, {PLACED} SELECT owner AS node, {P} FROM log JOIN own USING (key) GROUP BY owner")
 def latency_percentiles_by_node(spark, d):
-    return _placed(spark, d, _log(spark, d)).groupBy("node").agg(*metrics.percentiles("latency_ms"))
+    return metrics.percentiles_by(_placed(spark, d, _log(spark, d)), "node", "latency_ms")
 
 
 @query(f"WITH {S.LOG} SELECT {P} FROM (SELECT * FROM log ORDER BY event_id DESC LIMIT 5000)")
@@ -331,10 +342,7 @@ AGED = S.LOG + ", hs AS (SELECT key, row_number() OVER (ORDER BY event_id) AS se
 
 @query(f"WITH {AGED} SELECT row, cell, least(65535, v + last)::BIGINT AS count FROM folded WHERE v + last > 0")
 def cms_aged(spark, d):
-    log = _log(spark, d).withColumn("tick", F.floor(F.col("ts") / S.DAY))
-    per = log.groupBy("tick").agg(F.count("*").alias("n")).withColumn("base", F.sum("n").over(W.orderBy("tick")) - F.col("n")).select("tick", "base")
-    seq = log.withColumn("rn", F.row_number().over(W.partitionBy("tick").orderBy("event_id"))).join(per, "tick").select("key", (F.col("base") + F.col("rn")).alias("seq"))
-    return sketch.aged(seq, 3_000)
+    return sketch.aged(numbered(_log(spark, d)).select("key", "seq"), 3_000)
 
 
 # -- simulator -------------------------------------------------------------
@@ -382,7 +390,8 @@ def simulate_unbounded(spark, d):
 
 @query()
 def simulate_adaptive(spark, d):
-    at = [(r["tick"] * S.DAY, r["to"]) for r in signals.switches(_decisions(spark, d)).collect()]  # a row for each switch
+    # signals are those of a tick's end
+    at = [((r["tick"] + 1) * S.DAY, r["to"]) for r in signals.switches(_decisions(spark, d)).collect()]  # a row for each switch
     return simulate.simulate(_node_log(spark, d), ["LRU"], max_entries=20, switch_at=sorted(at))
 
 
@@ -409,9 +418,16 @@ def _sent(spark, d):
     return replication.targets(e, ring.replicas(_keys(spark, d), _ring(spark), 2))
 
 
+def _delay():
+    return F.lit(2_000) + F.col("event_id") % 4 * 1_500
+
+
 def _arrived(spark, d):
-    a = replication.faulted(_sent(spark, d), 10)
-    return a.withColumn("applied_at", F.col("applied_at") + F.col("event_id") % 4 * 1_500)
+    return replication.faulted(_sent(spark, d), 10, _delay())
+
+
+def _delivered(spark, d):
+    return replication.delivered(_sent(spark, d), 10, _delay())
 
 
 @query(f"WITH {REPL} SELECT event_id, source, key, op, version FROM ev")
@@ -436,7 +452,7 @@ def lww_merge(spark, d):
 
 @query(f"WITH {ARRIVED}, w AS (SELECT event_id, ts, count(*) AS wanted FROM sent GROUP BY ALL) SELECT w.event_id, wanted, count(a.target) FILTER (a.applied_at - w.ts <= 5000) AS acked, count(a.target) FILTER (a.applied_at - w.ts <= 5000) = wanted AS complete FROM w LEFT JOIN arrived a USING (event_id) GROUP BY w.event_id, wanted")
 def ack_completeness(spark, d):
-    return replication.acks(_sent(spark, d), _arrived(spark, d))
+    return replication.acks(_delivered(spark, d))
 
 
 PENDING_AT = 1_704_900_000_000
@@ -444,7 +460,7 @@ PENDING_AT = 1_704_900_000_000
 
 @query(f"WITH {ARRIVED}, w AS (SELECT event_id, count(*) AS wanted FROM sent WHERE ts <= {PENDING_AT} AND ts + 600000 > {PENDING_AT} GROUP BY 1), g AS (SELECT event_id, count(*) AS n FROM arrived WHERE applied_at <= {PENDING_AT} GROUP BY 1) SELECT count(*) FILTER (coalesce(n, 0) < wanted) AS pending FROM w LEFT JOIN g USING (event_id)")
 def pending_acks(spark, d):
-    return replication.pending_at(_sent(spark, d), _arrived(spark, d), F.lit(PENDING_AT).cast("long"), 600_000)
+    return replication.pending_at(_delivered(spark, d), None, F.lit(PENDING_AT).cast("long"), 600_000)
 
 
 # -- health ----------------------------------------------------------------
@@ -469,7 +485,7 @@ def outage_gated_ops(spark, d):
 @query(f"WITH {S.STATE} SELECT {STATE_COLS} FROM state")
 def snapshot_roundtrip(spark, d):
     """The state through a compressed snapshot and its checksum."""
-    root = _scratch(spark, "snapshots")
+    root = scratch_path(spark, "snapshots")
     snapshots.take(state.final_state(_log(spark, d)), root, "s1", "node-1", 1)
     return snapshots.restore(spark, root)
 
@@ -492,28 +508,86 @@ def recovered_entries(spark, d):
     return snapshots.recovered(state.final_state(log), log.agg(F.max("ts")).first()[0])
 
 
-def _scratch(spark, name: str) -> str:
-    import tempfile
-    import uuid
+@query(f"WITH {S.STATE} SELECT 'node-1' AS node, 's2' AS snapshot_restored, count(*) AS entries_restored, 0::BIGINT AS operations_replayed, true AS integrity_verified, 0 AS errors, coalesce(sum(size_bytes), 0)::BIGINT AS bytes FROM state")
+def recovery_chain(spark, d):
+    """Two snapshots, the newer one restored into an empty store, and its report."""
+    root, s = scratch_path(spark, "recovery"), state.final_state(_log(spark, d))
+    snapshots.take(s.limit(0), root, "s1", "node-1", 1)
+    snapshots.take(s, root, "s2", "node-1", 2)
+    entries, report = snapshots.recover(spark, root, "node-1", PENDING_AT)
+    snapshots.assert_healthy(report)
+    held = entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    return report.crossJoin(held).select("node", "snapshot_restored", "entries_restored", "operations_replayed", "integrity_verified", F.size("errors").alias("errors"), "bytes")  # one row each
+
+
+# -- faults, commands, sweeps --------------------------------------------------
+CMD = f"""{S.LOG}, cmd AS (SELECT 'node-' || (1 + event_id % 3) AS node, event_id AS at, ['KILL', 'RESTART', 'DELAY_REPLICATION', 'DROP_MESSAGES', 'REBOOT'][1 + (event_id // 3) % 5] AS type,
+CASE WHEN event_id % 2 = 0 THEN event_id % 5000 END AS duration_ms, CASE WHEN event_id % 7 > 0 THEN (event_id % 30) / 20.0 END AS drop_rate FROM log WHERE event_id % 50 < 6)"""
+FAULTS = f"""{CMD}, st AS (SELECT node, "at", type, coalesce(last_value(CASE WHEN type IN ('KILL', 'RESTART') THEN type = 'KILL' END IGNORE NULLS) OVER w, false) AS killed, coalesce(last_value(CASE WHEN type = 'DELAY_REPLICATION' THEN coalesce(duration_ms, 2000) END IGNORE NULLS) OVER w, 0)::BIGINT AS delay_ms,
+coalesce(last_value(CASE WHEN type = 'DROP_MESSAGES' THEN least(1, greatest(0, coalesce(drop_rate, 0.5))) END IGNORE NULLS) OVER w, 0)::DOUBLE AS "drop" FROM cmd WHERE type <> 'REBOOT' WINDOW w AS (PARTITION BY node ORDER BY "at" ROWS UNBOUNDED PRECEDING))"""
+
+
+def _commands(spark, d):
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, (*faults.COMMANDS, "REBOOT"))), (1 + F.floor(e / 3) % 5).cast("int"))
+    return _log(spark, d).where(e % 50 < 6).select(F.concat(F.lit("node-"), 1 + e % 3).alias("node"), e.alias("at"), kind.alias("type"), F.when(e % 2 == 0, e % 5_000).alias("duration_ms"), F.when(e % 7 > 0, (e % 30) / 20).alias("drop_rate"))
+
+
+@query(f"WITH {FAULTS} SELECT * FROM st")
+def fault_states(spark, d):
+    """The state that each fault command leaves its node in."""
+    return faults.states(_commands(spark, d))
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+@query(f"WITH {FAULTS}, k AS (SELECT node, \"at\", killed, lag(killed, 1, false) OVER (PARTITION BY node ORDER BY \"at\") AS was FROM st WHERE type IN ('KILL', 'RESTART')), t AS (SELECT node, \"at\", killed, lead(\"at\") OVER (PARTITION BY node ORDER BY \"at\") AS e FROM k WHERE killed <> was) SELECT node, \"at\" AS start, e AS \"end\" FROM t WHERE killed")
+def fault_outages(spark, d):
+    return faults.outages(_commands(spark, d))
+
+
+@query(f"WITH {CMD} SELECT type, CASE WHEN type = 'REBOOT' THEN 'VALIDATION_ERROR' END AS code, count(*) AS n FROM cmd GROUP BY type")
+def command_validation(spark, d):
+    return _commands(spark, d).groupBy("type", faults.command_error(F.col("type")).alias("code")).agg(F.count("*").alias("n"))
+
+
+ORDERS = ((19_727, "pin", "LRU"), (19_735, "resume", None), (19_740, "force", "LFU"))
+
+
+@query(SIG + f", dec AS ({DECIDED}) SELECT tick, CASE WHEN tick BETWEEN {ORDERS[0][0]} AND {ORDERS[1][0] - 1} THEN 'LRU' WHEN tick = {ORDERS[2][0]} THEN 'LFU' ELSE policy END AS policy, NOT tick BETWEEN {ORDERS[0][0]} AND {ORDERS[1][0] - 1} AS auto FROM dec")
+def pinned_policy(spark, d):
+    """The decisions under a pin of eight days and, later, a forced switch."""
+    orders = spark.createDataFrame([(t * S.DAY, k, p) for t, k, p in ORDERS], "at long, kind string, policy string")
+    return faults.pinned(_decisions(spark, d).select("tick", "policy"), orders, S.DAY)
+
+
+@query(f"WITH {S.REPLAY}, {PLACED} SELECT owner AS node, count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, count(*) FILTER (op = 'PUT') AS writes FROM replayed JOIN own USING (key) GROUP BY owner")
+def swept_counters(spark, d):
+    """Counters of nodes that sweep expired entries every hour: a sweep changes neither hits nor misses nor writes."""
+    return simulate.simulate(_node_log(spark, d), ["LRU"], sweep_ms=3_600_000).select("node", "hits", "misses", "writes")
+
+
+@query(f"WITH {S.REPLAY}, arr AS (SELECT key, max(version)::BIGINT AS version FROM replayed WHERE op = 'PUT' GROUP BY key), ends AS (SELECT * FROM replayed QUALIFY row_number() OVER (PARTITION BY key ORDER BY event_id DESC) = 1), n AS (SELECT max(ts) AS t FROM log), loc AS (SELECT key, version::BIGINT AS version FROM ends, n WHERE op <> 'DELETE' AND NOT expired AND version > 0 AND (p.exp IS NULL OR p.exp > t)) SELECT a.key, a.version, CASE WHEN l.key IS NULL THEN 'absent' WHEN a.version > l.version THEN 'newer' ELSE 'stale' END AS reason, l.key IS NULL OR a.version > l.version AS applies FROM arr a LEFT JOIN loc l USING (key)")
+def replica_resolution(spark, d):
+    """What a replica with the final entries does with the highest version that ever came for each key."""
+    log = _log(spark, d)
+    now = log.agg(F.max("ts")).first()[0]
+    incoming = state.replay(log).where("op = 'PUT'").groupBy("key").agg(F.max("version").alias("version"))
+    return replication.resolved(state.final_state(log).select("key", "version", "expires_at"), incoming, F.lit(now).cast("long"))
 
 
 # -- streams ---------------------------------------------------------------
 @query(f"WITH {S.LOG} SELECT op, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM log GROUP BY op")
 def stream_stats(spark, d):
-    return twins.drained(twins.stats(twins.events_stream(spark, d)), "complete")
+    return twins.drained(twins.stats(twins.events_stream(spark, d)), "op")
 
 
 @query(f"WITH {S.LOG} SELECT ts // {S.DAY} * {S.DAY} AS tick, count(*) AS n, count(*) FILTER (op = 'GET') AS reads FROM log GROUP BY 1")
 def stream_ticks(spark, d):
-    return twins.drained(twins.ticks(twins.events_stream(spark, d)), "complete")
+    return twins.drained(twins.ticks(twins.events_stream(spark, d)), "tick")
 
 
 @query(f"WITH {S.LOG} SELECT key, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM log WHERE op = 'PUT' GROUP BY key")
 def stream_lww(spark, d):
-    return twins.drained(twins.last_writes(twins.events_stream(spark, d)), "complete")
+    return twins.drained(twins.last_writes(twins.events_stream(spark, d)), "key")
 
 
 @query(f"WITH {S.LOG} SELECT event_id, key, op FROM log")
@@ -609,7 +683,7 @@ def routed_ops(spark, d):
 
 @query(f"WITH {S.LOG} SELECT key, count(*) FILTER (op = 'GET') AS reads, count(*) FILTER (op = 'PUT') AS writes FROM log GROUP BY key")
 def stream_key_counters(spark, d):
-    return twins.drained(twins.key_counters(twins.events_stream(spark, d)), "complete")
+    return twins.drained(twins.key_counters(twins.events_stream(spark, d)), "key")
 
 
 @query(f"WITH {S.REPLAY} SELECT key, count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, count(*) FILTER (expired) AS expirations FROM replayed GROUP BY key")

@@ -71,9 +71,12 @@ SIGNALS = (
 skews AS (SELECT tick, greatest(0, least(1, 2 * sum(i * n) / (max(c) * sum(n)) - (max(c) + 1) / max(c))) AS skew, max(c) / sum(n) AS working_set FROM ranked GROUP BY tick),
 nums AS (SELECT tick, seq, abs(num - lag(num) OVER (ORDER BY seq)) AS step FROM (SELECT tick, seq, CAST(regexp_extract(key, '([0-9]+)[^0-9]*$', 1) AS BIGINT) AS num FROM samples)),
 seqs AS (SELECT tick, count(*) FILTER (step = 1) / count(*) AS sequential FROM nums GROUP BY tick),
-base AS (SELECT tick, max(seq) AS samples, coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (op = 'GET'), 0), 0) AS hit_rate, count(*) FILTER (op = 'PUT') / count(*) AS write_ratio FROM samples GROUP BY tick),
-turns AS (SELECT *, row_number() OVER (ORDER BY tick) AS i FROM base),
-emas AS (SELECT a.tick, sum(b.hit_rate * CASE WHEN b.i = 1 THEN pow(0.75, a.i - 1) ELSE 0.25 * pow(0.75, a.i - b.i) END) AS hit_rate_ema, sum(b.write_ratio * CASE WHEN b.i = 1 THEN pow(0.75, a.i - 1) ELSE 0.25 * pow(0.75, a.i - b.i) END) AS write_ratio_ema FROM turns a JOIN turns b ON b.i <= a.i GROUP BY a.tick),
+base AS (SELECT tick, max(seq) AS samples, count(*) FILTER (op = 'GET') AS reads, coalesce(count(*) FILTER (hit) / nullif(count(*) FILTER (op = 'GET'), 0), 0) AS hit_rate, count(*) FILTER (op = 'PUT') / count(*) AS write_ratio FROM samples GROUP BY tick),
+turns AS (SELECT *, row_number() OVER (ORDER BY tick) AS i, CASE WHEN reads > 0 OR row_number() OVER (ORDER BY tick) = 1 THEN hit_rate END AS fed FROM base),
+fedn AS (SELECT *, count(fed) OVER (ORDER BY tick) AS j FROM turns),
+emah AS (SELECT a.tick, sum(b.fed * CASE WHEN b.j = 1 THEN pow(0.75, a.j - 1) ELSE 0.25 * pow(0.75, a.j - b.j) END) AS hit_rate_ema FROM fedn a JOIN fedn b ON b.fed IS NOT NULL AND b.j <= a.j GROUP BY a.tick),
+emaw AS (SELECT a.tick, sum(b.write_ratio * CASE WHEN b.i = 1 THEN pow(0.75, a.i - 1) ELSE 0.25 * pow(0.75, a.i - b.i) END) AS write_ratio_ema FROM turns a JOIN turns b ON b.i <= a.i GROUP BY a.tick),
+emas AS (SELECT * FROM emah JOIN emaw USING (tick)),
 signals AS (SELECT tick, samples, round(hit_rate, 6) AS hit_rate, round(write_ratio, 6) AS write_ratio, round(hit_rate_ema, 6) AS hit_rate_ema, round(write_ratio_ema, 6) AS write_ratio_ema, round(skew, 6) AS skew, round(working_set, 6) AS working_set, round(coalesce(sequential, 0), 6) AS sequential
  FROM base JOIN emas USING (tick) JOIN skews USING (tick) LEFT JOIN seqs USING (tick))"""
 )

@@ -84,5 +84,39 @@ def recovered(entries: DataFrame, now: int) -> DataFrame:
     return entries.select("key", "value", F.lit(1).cast("long").alias("version"), t.alias("created_at"), t.alias("updated_at"), t.alias("last_accessed_at"), F.lit(0).cast("long").alias("frequency"), F.when(F.col("expires_at").isNotNull(), t + left).alias("expires_at"), "size_bytes")
 
 
+def recover(spark: SparkSession, root: str, node: str, now: int) -> tuple[DataFrame, DataFrame]:
+    """What a node holds after a restart, and the report of it (one row).
+
+    The store starts empty; the newest snapshot's entries are applied again. Without a snapshot the store
+    stays empty and the report is sound; one that can't be verified leaves it empty, too, and is an error.
+    """
+    empty, name, error = spark.createDataFrame([], ENTRY), None, None
+    try:
+        found = catalog(spark, root).first() if exists(spark, root) else None
+        entries = recovered(restore(spark, root, found["snapshot_id"]), now).select(empty.columns) if found else empty
+        name = found["snapshot_id"] if found else None
+    except SnapshotError as e:
+        entries, error = empty, str(e)
+    row = entries.agg(F.count("*").alias("entries_restored"))
+    errors = F.array(F.lit(error)) if error else F.array().cast("array<string>")
+    return entries, row.select(
+        F.lit(node).alias("node"), F.lit(now).cast("long").alias("finished_at"), F.lit(name).cast("string").alias("snapshot_restored"), "entries_restored",
+        F.lit(0).cast("long").alias("operations_replayed"), F.lit(error is None).alias("integrity_verified"), errors.alias("errors"),
+    )
+
+
+def assert_healthy(report_: DataFrame) -> None:
+    """Raises unless the recovery was verified: until then a node takes no traffic."""
+    r = report_.first()
+    if not r["integrity_verified"]:
+        raise SnapshotError(f"recovery of {r['node']} is not verified: {'; '.join(r['errors'])}")
+
+
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether any snapshot has a manifest."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/manifest")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def report(entries: DataFrame, now: int) -> DataFrame:
     return entries.agg(F.count("*").alias("entries_restored"), F.count_if(F.col("expires_at") <= now).alias("expired_on_arrival"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes_restored")).withColumn("operations_replayed", F.lit(0).cast("long"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..session import importable, scratch_path
 from ..sources.log import from_events
 
 
@@ -21,32 +20,48 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_events(s).withColumn("at", F.timestamp_millis("ts"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming query to the end of its input and gives what its sink holds."""
-    name = "t" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, *key: str) -> DataFrame:
+    """Runs a streaming query to the end of its input and gives what it wrote to a table in the shared folder.
+
+    Without a key the stream appends. With one it updates: every micro-batch writes the rows that it
+    changed, and the newest one of each key holds. A batch that is run again replaces its own files.
+    """
+    spark = stream.sparkSession
+    path, state = scratch_path(spark, "stream"), scratch_path(spark, "stream-state")
+    schema = stream.schema
+    # a table without rows, for a stream that never has a batch
+    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode("update" if key else "append").option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    out = spark.read.option("basePath", path).schema(schema.add("batch", "long")).parquet(path)
+    if not key:
+        return out.drop("batch")
+    rest = [c for c in schema.names if c not in key and c != "batch"]
+    return out.groupBy(*key).agg(F.max(F.struct("batch", *rest)).alias("r")).select(*key, *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
 def stats(stream: DataFrame) -> DataFrame:
-    """Counts by operation, kept complete."""
+    """Counts by operation."""
     return stream.groupBy("op").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
 def ticks(stream: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Tumbling ticks, with late rows admitted up to a watermark."""
+    """Tumbling ticks; rows later than the watermark are dropped, and ticks behind it leave the state."""
     return stream.withWatermark("at", late).groupBy(F.window("at", size).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("op") == "GET").alias("reads")).select(F.unix_millis("w.start").alias("tick"), "n", "reads")
 
 
 def last_writes(stream: DataFrame) -> DataFrame:
-    """The newest write of each key, kept complete."""
+    """The newest write of each key, updated."""
     w = stream.where("op = 'PUT'")
     return w.groupBy("key").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
 
 
 def key_counters(stream: DataFrame) -> DataFrame:
-    """Reads and writes of each key, kept complete."""
+    """Reads and writes of each key."""
     return stream.groupBy("key").agg(F.count_if(F.col("op") == "GET").alias("reads"), F.count_if(F.col("op") == "PUT").alias("writes"))
 
 

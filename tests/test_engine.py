@@ -304,3 +304,133 @@ def test_stream_stream_join_times_out(spark, tmp_path):
     got = twins.drained(twins.acknowledged(read("sent"), read("acks")))
     rows = {r["event_id"]: r["ack_id"] for r in got.collect()}
     assert all(rows[k] == k for k in (0, 2, 4)) and all(v is None for k, v in rows.items() if k % 2)
+
+
+# -- faults, bus, recovery, seeds ----------------------------------------------
+def test_bus_keeps_order_and_drops_what_is_malformed(spark, tmp_path):
+    from cachelens.sources import bus
+
+    folder, state = str(tmp_path / "bus"), str(tmp_path / "state")
+    df = spark.createDataFrame([(i, f"k{i % 3}", None if i % 2 else i) for i in range(12)], "event_id long, key string, v long")
+    bus.publish(bus.message(df, "cache-events", "key", F.timestamp_millis(F.col("event_id"))), path=folder)
+    bus.publish(spark.createDataFrame([("k1", "{broken", "cache-events"), ("k1", None, "cache-events"), ("k1", "[1]", "cache-events"), ("k1", '{"event_id": 99}', "other")], "key string, value string, topic string").withColumn("timestamp", F.current_timestamp()), path=folder)
+    seen = []
+    first = lambda b, n: seen.append(("first", sorted(r["event_id"] for r in bus.parsed(b, "event_id long, key string, v long").collect())))
+    second = lambda b, n: seen.append(("second", b.count()))
+    s = bus.subscribed(spark, ["cache-events"], path=folder)
+    q = bus.handled(s, {"cache-events": [first, second]}, state).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == [("first", list(range(12))), ("second", 15)]
+    got = spark.read.schema(bus.ROW).json(folder).where("value like '%event_id%'")
+    by = {}
+    for r in bus.parsed(got.where("topic = 'cache-events'").withColumn("value", F.col("value")), "event_id long, key string").collect():
+        by.setdefault(r["key"], []).append(r["event_id"])
+    assert all(v == sorted(v) for v in by.values()) and len(by) == 3
+
+
+def test_recovery_starts_empty_and_refuses_what_differs(spark, tmp_path):
+    from cachelens.sources import snapshots
+
+    root = str(tmp_path / "s")
+    entries, report = snapshots.recover(spark, root, "n", 50)
+    assert entries.count() == 0 and report.first()["integrity_verified"] and report.first()["snapshot_restored"] is None
+    rows = [("a", "1", 3, 1, 1, 1, 5, None, 10), ("b", "2", 1, 1, 1, 1, 0, 40, 10)]
+    df = spark.createDataFrame(rows, snapshots.ENTRY)
+    snapshots.take(df, root, "s1", "n", 1)
+    entries, report = snapshots.recover(spark, root, "n", 50)
+    got = {r["key"]: (r["version"], r["frequency"], r["expires_at"]) for r in entries.collect()}
+    assert got == {"a": (1, 0, None), "b": (1, 0, 50)} and report.first()["entries_restored"] == 2
+    snapshots.assert_healthy(report)
+    df.limit(1).coalesce(1).write.mode("overwrite").json(f"{root}/s1/entries")
+    entries, report = snapshots.recover(spark, root, "n", 50)
+    assert entries.count() == 0 and not report.first()["integrity_verified"] and len(report.first()["errors"]) == 1
+    with pytest.raises(snapshots.SnapshotError):
+        snapshots.assert_healthy(report)
+
+
+def test_seeds_of_policies():
+    from cachelens.operators import simulate
+
+    entries = [("a", 50, 300), ("b", 1, 100), ("c", 40, 200)]
+    seeded = {}
+    for name, cls in simulate.POLICIES.items():
+        seeded[name] = cls()
+        seeded[name].seed(entries)
+    assert [seeded[n].victim(None) for n in ("FIFO", "LRU", "LFU", "TINY_LFU")] == ["a", "b", "b", "b"]
+    assert seeded["LFU"].uses == {"a": 50, "b": 1, "c": 40} and seeded["TINY_LFU"].estimate("a") == 32
+    assert list(seeded["TINY_LFU"].order) == ["b", "c", "a"]
+
+
+def test_sweeps_count_as_expirations_or_deletes():
+    from cachelens.operators import simulate
+
+    rows = [(0, "a", "PUT", 10, 1), (1, "b", "PUT", None, 1), (35, "c", "PUT", None, 1)]
+    for name, want in (("expirations", (1, 0)), ("deletes", (0, 1))):
+        got = dict(zip((c.split()[0] for c in simulate.COUNTS.split(", ")), simulate.run(simulate.Store(simulate.Lru()), rows, None, 30, name)))
+        assert (got["expirations"], got["deletes"], got["entries"]) == (*want, 2)
+
+
+def test_numbers_and_signals_do_not_depend_on_the_bucket(spark, small):
+    from cachelens.operators import order, signals, state
+    from cachelens.sources import log as src
+
+    log = src.access_log(spark, small)
+    got = order.numbered(log, bucket=64).select("event_id", "seq").collect()
+    assert [r["seq"] for r in sorted(got)] == list(range(1, len(got) + 1))
+    r = state.replay(log)
+    assert sorted(signals.by_tick(r, bucket=50).collect()) == sorted(signals.by_tick(r).collect())
+
+
+def test_means_feed_again_without_reads(spark):
+    from cachelens.operators import signals
+
+    df = spark.createDataFrame([([0.8, None, 0.4, 0.6],), ([None, 0.5],)], "x array<double>")
+    assert [r[0] for r in df.select(F.round(signals.ema(F.col("x")), 6)).collect()] == [0.675, 0.125]
+    write_only = spark.createDataFrame([(1, 0, "k1", "PUT", False), (2, 0, "k1", "GET", True), (3, 10, "k2", "PUT", False), (4, 20, "k3", "GET", True)], "event_id long, ts long, key string, op string, hit boolean")
+    got = signals.by_tick(write_only, 10).orderBy("tick").collect()
+    assert [r["hit_rate_ema"] for r in got] == [1.0, 1.0, 1.0] and got[1]["write_ratio_ema"] == 0.625
+
+
+def test_nearest_ranks(spark):
+    import math
+    import random
+
+    from cachelens.operators import order
+
+    r = random.Random(1)
+    rows = [("a", float(r.choice((1, 2, 3, 1000)))) for _ in range(501)] + [("b", r.lognormvariate(0, 5)) for _ in range(777)] + [("c", 4.0)] + [("d", None)]
+    got = {x["g"]: x for x in order.nearest_ranks(spark.createDataFrame(rows, "g string, x double"), "g", "x", {"p50": 0.5, "p99": 0.99}, 16).collect()}
+    for g in "abc":
+        v = sorted(x for k, x in rows if k == g)
+        assert [got[g][n] for n in ("p50", "p99", "max")] == [v[math.ceil(p * len(v)) - 1] for p in (0.5, 0.99)] + [v[-1]]
+    assert set(got) == set("abc")
+
+
+def test_ring_lists_equal_brute_force(spark):
+    from cachelens.operators import ring
+
+    nodes = spark.createDataFrame([(f"n{i}", 1.0 if i else 40.0) for i in range(5)], "node_id string, weight double")
+    points = ring.points(nodes, 4)
+    pts = sorted((r["hash"], r["node_id"]) for r in points.collect())
+    keys = spark.range(200).select(F.concat(F.lit("key:"), "id").alias("key"))
+    from cachelens.functions.hashing import ring_hash
+
+    hashes = {r["key"]: r["h"] for r in keys.select("key", ring_hash(F.col("key")).alias("h")).collect()}
+    for r in ring.replicas(keys, points, 3).collect():
+        around = [n for h, n in pts if h >= hashes[r["key"]]] + [n for h, n in pts]
+        assert r["nodes"] == list(dict.fromkeys(around))[:3]
+
+
+def test_late_rows_leave_the_ticks(spark, tmp_path):
+    import time as clock
+
+    from cachelens.streaming import twins
+
+    folder = str(tmp_path / "in")
+    hour = 3_600_000
+    for i, part in enumerate(([(0, "GET"), (30 * hour, "GET")], [(31 * hour, "PUT")], [(1, "GET"), (32 * hour, "PUT")])):  # the last batch's first row is a day late
+        spark.createDataFrame(part, "ts long, op string").coalesce(1).write.mode("append").parquet(folder)
+        clock.sleep(1.1)
+    s = spark.readStream.schema("ts long, op string").option("maxFilesPerTrigger", 1).parquet(folder).withColumn("at", F.timestamp_millis("ts"))
+    got = {r["tick"]: (r["n"], r["reads"]) for r in twins.drained(twins.ticks(s), "tick").collect()}
+    assert got == {0: (1, 1), 24 * hour: (3, 1)}
