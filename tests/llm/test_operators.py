@@ -224,6 +224,32 @@ def test_licences_pass_down_the_query_s_own_tree(spark):
     assert got[top]["origin"] == got[mid]["origin"] == "own"
 
 
+def test_repeated_and_null_keys_are_files_of_their_own(spark):
+    rows = [(1, "Released under the MIT License.", "a"), (1, "nothing here", "b"), (None, "Licensed under CC BY-NC 4.0.", "a"), (None, "nothing", "a"), (2, "Released under the MIT License.", "c"), (2, "Released under the MIT License.", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit("clash")).withColumn("license", F.lit("clash"))
+    got = sorted((str(r["doc_id"]), str(r["license"]), r["origin"]) for r in licenses.scan(df).collect())
+    assert got == [("1", "MIT", "own"), ("1", "None", "none"), ("2", "MIT", "own"), ("2", "MIT", "own"), ("None", "CC-BY-NC-4.0", "own"), ("None", "None", "none")]
+
+
+def test_licence_cosine_against_brute_force(spark):
+    import math
+
+    texts = ["Licensed under the Apache License, Version 2.0.", "This program is free software under some other license of ours", "permission is hereby granted, free of charge, to any person obtaining a copy", "Released under the MIT License", "Licensed under CC BY-SA 4.0", "Licensed under CC BY 4.0 and more license words"]
+    df = spark.createDataFrame([(i, f"Some text.\n{t}\nThe end of it.") for i, t in enumerate(texts)], "doc_id long, text string")
+    split = lambda t: [w for w in re.split(licenses.TERM, t.lower()) if w]
+    tpl = [(lic, Counter(split(t.replace("'", "")))) for lic, ts in licenses.TEMPLATES.items() for t in ts]
+    bags = [Counter(split(t)) for t in texts]
+    seen = Counter(w for b in [*bags, *(c for _, c in tpl)] for w in b)
+    n = len(bags) + len(tpl)
+    weigh = lambda b: {w: (1 + math.log(c)) * math.log1p(n / seen[w]) for w, c in b.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    got = {r["doc_id"]: (r["license"], r["score"]) for r in licenses.detect(df, "doc_id", "text").collect()}
+    for i, b in enumerate(bags):
+        a = weigh(b)
+        score, lic = max(((round(sum(x * weigh(c).get(w, 0) for w, x in a.items()) / norm(a) / norm(weigh(c)), 6), lic) for lic, c in tpl), key=lambda x: (x[0], [-ord(k) for k in x[1]]))
+        assert (i in got) == (score >= licenses.LEAST) and (i not in got or (got[i][0] == lic and abs(got[i][1] - score) < 2e-6))
+
+
 def test_whole_licence_files_are_holders(spark):
     rows, want = [], {}
     for i, (lic, text) in enumerate(licenses.whole_texts().items()):
