@@ -295,6 +295,7 @@ def classes(df: DataFrame, key: str = "doc_id", least: float = LEAST, held: Data
     worded = rows.where("fp1 is not null").join(label, ["fp1", "fp2"]).select("rid", "k", "label")
     worded = stored(worded, "labels")
     best = worded.groupBy("label").agg(F.min(F.struct(F.col("k").isNull(), "k", "rid")).alias("b"), F.count("*").alias("class_size"))
+    best = stored(best, "classes")  # a plain side of the join: a large class is split by adaptive execution
     out = worded.join(best, "label").select("rid", F.col("k").alias(key), F.col("b.k").alias("class_id"), "class_size", (F.col("rid") == F.col("b.rid")).alias("first"))
     alone = rows.where("fp1 is null").select("rid", F.col("k").alias(key), F.col("k").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("first"))
     return out.unionByName(alone)
