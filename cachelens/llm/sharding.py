@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Rows for which a bucket of slots is planned.
@@ -40,7 +41,7 @@ def assign(df: DataFrame, key: str, text: str, weights: Sequence[float], seed: s
     """doc key, size, text_crc32, law, shard, slot and grown_shard (with one more shard of weight 1) of each row.
 
     Texts end in the first projection: only key, size and checksum are shuffled.
-    Slots are numbered within buckets of the key's hash and shifted by the rows
+    Slots are numbered within buckets of a hash of key, size and checksum and shifted by the rows
     of lower buckets, so no task sees a whole shard.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -48,9 +49,8 @@ def assign(df: DataFrame, key: str, text: str, weights: Sequence[float], seed: s
     rows = df.select(F.col(key).alias("k"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("crc"))
     rows = rows.groupBy("k", "size", "crc").agg(F.count("*").alias("n"))
     rows = rows.withColumns({"shard": shard_of(F.col("k"), weights, seed), "grown": shard_of(F.col("k"), [*weights, 1.0], seed)})
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("k", "size", "crc"), F.lit(n_buckets)).cast("int"))
-    from pyspark.sql import Window as W
-
+    name = F.concat_ws(":", F.coalesce(F.col("k").cast("string"), F.lit("null")), "size", "crc")
+    rows = rows.withColumn("bucket", (F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % n_buckets).cast("int"))
     per = rows.groupBy("bucket", "shard").agg(F.sum("n").alias("rows"))  # as many rows as buckets times shards
     base = per.select("bucket", "shard", (F.sum("rows").over(W.partitionBy("shard").orderBy("bucket")) - F.col("rows")).alias("base"))
     inner = W.partitionBy("bucket", "shard").orderBy("k", "crc", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
