@@ -18,6 +18,12 @@ def targets(events_: DataFrame, replica_lists: DataFrame) -> DataFrame:
     return events_.join(replica_lists, "key").withColumn("target", F.explode(F.array_except("nodes", F.array("source")))).drop("nodes")
 
 
+def addressed_to(events_: DataFrame, replica_lists: DataFrame, node: str) -> DataFrame:
+    """The events that a node applies, of a topic that all nodes read: those with the node among their targets and another source."""
+    mine = replica_lists.where(F.array_contains("nodes", node)).select("key")
+    return events_.where(F.col("source") != node).join(mine, "key", "left_semi")
+
+
 def delivered(sent: DataFrame, drop_percent: int, delay_ms: int | Column = 2_000) -> DataFrame:
     """sent with applied_at: null for the share that is dropped, delayed for the rest; a hash of event and target decides."""
     h = F.pmod(ring_hash(F.concat_ws("@", F.col("event_id"), F.col("target"))), F.lit(100))

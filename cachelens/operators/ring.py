@@ -72,3 +72,12 @@ def route(replicas_: DataFrame, dead: list[str]) -> DataFrame:
     """The first candidate that isn't dead; null if none is left."""
     alive = F.filter("nodes", lambda x: ~x.isin(dead) if dead else F.lit(True))
     return replicas_.select("key", F.get(alive, F.lit(0)).alias("target"), (F.get(alive, F.lit(0)) != F.get("nodes", F.lit(0))).alias("failed_over"))
+
+
+def candidates(replica_lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """key, place and the node's row for each candidate id in the order of the ring; unknown and dead nodes go.
+
+    nodes is a row a node, so the join is left to its size.
+    """
+    ids = replica_lists.select("key", F.posexplode("nodes").alias("place", "node_id"))
+    return ids.join(nodes.where("status <> 'DEAD'"), "node_id").select("key", "place", "node_id", *(c for c in nodes.columns if c != "node_id"))

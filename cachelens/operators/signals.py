@@ -92,3 +92,12 @@ def switches(decisions: DataFrame, tick_ms: int = TICK, least: int = 200, cooldo
         return F.when(go, F.struct(x["policy"].alias("p"), now.alias("at"), F.concat(a["out"], F.array(row)).alias("out"))).otherwise(a)
 
     return decisions.agg(F.aggregate(ticks, seed, fold)["out"].alias("s")).select(F.inline("s"))
+
+
+def detail(by_tick_: DataFrame, switched: DataFrame, start: str = "LRU", auto: bool = True, kept: int = 200) -> DataFrame:
+    """One row: current_policy, auto_switch, the last tick's signals, the count of switches and the newest of them as JSON."""
+    newest = switched.orderBy(F.desc("tick")).limit(kept)
+    rows = F.sort_array(F.collect_list(F.struct("tick", "from", "to")))  # kept at most
+    log = newest.agg(F.coalesce(F.max_by("to", "tick"), F.lit(start)).alias("current_policy"), F.to_json(rows).alias("history"))
+    last = by_tick_.orderBy(F.desc("tick")).limit(1).crossJoin(switched.agg(F.count("*").alias("switches"))).crossJoin(log)  # one row each
+    return last.select("current_policy", F.lit(auto).alias("auto_switch"), *by_tick_.columns, "switches", "history")

@@ -49,6 +49,22 @@ def live_at(state: DataFrame, now: Column) -> DataFrame:
     return state.where(~expired(F.col("expires_at"), now))
 
 
+def has(asked: DataFrame, state: DataFrame, now: Column) -> DataFrame:
+    """key, present and removed of the asked keys: whether a live entry is there, and whether the question removes an expired one. It counts as neither hit nor miss."""
+    held = state.select("key", expired(F.col("expires_at"), now).alias("__dead"))
+    return asked.select("key").distinct().join(held, "key", "left").select("key", F.coalesce(~F.col("__dead"), F.lit(False)).alias("present"), F.coalesce("__dead", F.lit(False)).alias("removed"))
+
+
+def metadata(state: DataFrame, now: Column) -> DataFrame:
+    """All but the value of the live entries."""
+    return live_at(state, now).drop("value")
+
+
+def cleared(log: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
+    """The replays before and after the store is cleared at event id `at`. Counters run on over both: a clear resets none."""
+    return replay(log.where(F.col("event_id") < at)), replay(log.where(F.col("event_id") >= at))
+
+
 def counters(replayed: DataFrame, *by: str) -> DataFrame:
     """hits, misses, expirations, writes, deletes and the hit ratio, 0 where nothing was read."""
     n = {"hits": "hit", "misses": "miss", "expirations": "expired", "deletes": "deleted"}

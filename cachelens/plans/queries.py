@@ -84,6 +84,30 @@ def live_entries_at(spark, d):
     return state.live_at(state.final_state(log).crossJoin(F.broadcast(now)), F.col("now")).drop("now")
 
 
+@query(f"WITH {S.STATE}, n AS (SELECT max(ts) AS t FROM log), asked AS (SELECT DISTINCT key FROM log UNION SELECT 'user:none') SELECT a.key, s.key IS NOT NULL AND (expires_at IS NULL OR expires_at > t) AS present, coalesce(expires_at <= t, false) AS removed FROM asked a CROSS JOIN n LEFT JOIN state s USING (key)")
+def has_keys(spark, d):
+    """Whether each key that ever came, and one that never did, has a live entry at the end."""
+    log = _log(spark, d)
+    asked = log.select("key").unionByName(spark.range(1).select(F.lit("user:none").alias("key")))
+    return state.has(asked, state.final_state(log), F.lit(log.agg(F.max("ts")).first()[0]).cast("long"))
+
+
+@query(f"WITH {S.STATE} SELECT key, version::BIGINT AS version, created_at, updated_at, last_accessed_at, frequency::BIGINT AS frequency, expires_at, size_bytes FROM state WHERE expires_at IS NULL OR expires_at > (SELECT max(ts) FROM log)")
+def entry_metadata(spark, d):
+    log = _log(spark, d)
+    return state.metadata(state.final_state(log), F.lit(log.agg(F.max("ts")).first()[0]).cast("long"))
+
+
+CLEARED_AT = 5_000
+
+
+@query(f"WITH {S.REPLAY.replace(chr(39) + 'user:' + chr(39) + ' || user_id AS key', chr(39) + 'user:' + chr(39) + f' || user_id || (event_id < {CLEARED_AT}) AS key')} SELECT {COUNTS} FROM replayed")
+def cleared_counters(spark, d):
+    """Counters over a log in whose middle the store is cleared."""
+    before, after = state.cleared(_log(spark, d), CLEARED_AT)
+    return state.counters(before.unionByName(after))
+
+
 @query(f"WITH {S.REPLAY} SELECT key, event_id, ts, m.exp AS expired_at FROM replayed WHERE expired")
 def ttl_expirations(spark, d):
     return _replay(spark, d).where("expired").select("key", "event_id", "ts", F.col("m.exp").alias("expired_at"))
@@ -135,7 +159,13 @@ def latency_last_5000(spark, d):
 
 @query(f"WITH {S.LOG} SELECT event_id, round(count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW) / 86400.0, 6) AS rate FROM log")
 def trailing_request_rate(spark, d):
-    return _log(spark, d).select("event_id", metrics.trailing_rate(None, "key", "ts", S.DAY).alias("rate"))
+    return metrics.trailing_rate(_log(spark, d).select("event_id", "key", "ts"), "key", "ts", S.DAY).select("event_id", "rate")
+
+
+@query(f"WITH {S.LOG}, {PLACED} SELECT event_id, owner AS node, round(count(*) OVER (PARTITION BY owner ORDER BY ts RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW) / 1.0, 6) AS rate FROM log JOIN own USING (key)")
+def node_request_rate(spark, d):
+    """Requests of a node in the second up to each of its operations."""
+    return metrics.trailing_rate(_node_log(spark, d).select("event_id", "node", "ts"), "node", "ts", 1_000, 3_600).select("event_id", "node", "rate")
 
 
 SNAP = f"{S.REPLAY}, {PLACED}, snaps AS (SELECT owner AS node, count(*) FILTER (hit) AS hits, count(*) FILTER (miss) AS misses, sum(size_bytes) AS memory, round(count(*) / 2592000.0, 6) AS rps, quantile_disc(latency_ms, 0.99) AS p99 FROM replayed JOIN own USING (key) GROUP BY owner)"
@@ -259,6 +289,13 @@ def failover_route(spark, d):
     return ring.route(ring.replicas(_keys(spark, d), _ring(spark), 3), ["node-2"])
 
 
+@query(f"WITH {RING}, {S.KEYS}, {S.replicas(3)}, known AS (SELECT * FROM (VALUES ('node-1', 'cache-1', 7001, 'HEALTHY'), ('node-2', 'cache-2', 7002, 'DEAD')) t(node_id, host, port, status)) SELECT key, place::INTEGER AS place, node_id, host, port, status FROM (SELECT key, unnest(nodes) AS node_id, unnest(range(len(nodes))) AS place FROM reps) JOIN known USING (node_id) WHERE status <> 'DEAD'")
+def candidate_nodes(spark, d):
+    """The nodes that a request for each key may go to, node-2 being dead and node-3 unknown."""
+    known = src.nodes(spark).where("node_id <> 'node-3'").select("node_id", "host", "port", F.when(F.col("node_id") == "node-2", "DEAD").otherwise(F.col("status")).alias("status"))
+    return ring.candidates(ring.replicas(_keys(spark, d), _ring(spark), 3), known)
+
+
 @query(f"WITH {RING} SELECT node_id, idx::INTEGER AS idx, round(cos(h / 4294967295.0 * 2 * pi()), 6) AS x, round(sin(h / 4294967295.0 * 2 * pi()), 6) AS y FROM ring")
 def ring_angles(spark, d):
     a = F.col("hash") / 4294967295.0 * 2 * F.pi()
@@ -440,6 +477,12 @@ def replication_targets(spark, d):
     return _sent(spark, d).select("event_id", "source", "target")
 
 
+@query(f"WITH {SENT} SELECT event_id, source, key, version FROM sent WHERE target = 'node-2'")
+def addressed_events(spark, d):
+    """What node-2 takes from the topic that all nodes read."""
+    return replication.addressed_to(_events(spark, d), ring.replicas(_keys(spark, d), _ring(spark), 2), "node-2").select("event_id", "source", "key", "version")
+
+
 @query(f"WITH {ARRIVED} SELECT event_id, target, applied_at FROM arrived")
 def faulted_replication(spark, d):
     return _arrived(spark, d).select("event_id", "target", "applied_at")
@@ -652,11 +695,12 @@ def error_status(spark, d):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, codes))).alias("code")).select("code", src.status_of(F.col("code")).alias("status"))
 
 
-@query(f"WITH {S.STATE} SELECT key, '{{\"key\":\"' || key || '\",\"version\":' || version || ',\"frequency\":' || frequency || ',\"expires_at\":' || coalesce(expires_at::VARCHAR, 'null') || '}}' AS line FROM state")
+@query(f"WITH {S.STATE} SELECT {STATE_COLS} FROM state")
 def export_entries(spark, d):
-    """Bulk export: a JSON line for each entry, nulls written out."""
-    line = F.to_json(F.struct("key", "version", "frequency", "expires_at"), {"ignoreNullFields": "false"})
-    return state.final_state(_log(spark, d)).select("key", line.alias("line"))
+    """The entries as JSON lines in a folder, and what an import reads from there."""
+    folder, entries = scratch_path(spark, "export"), state.final_state(_log(spark, d))
+    entries.write.option("compression", "gzip").json(folder)
+    return spark.read.schema(entries.schema).json(folder)
 
 
 @query(f"WITH {S.LOG} SELECT event_id, key, op FROM log WHERE event_id % 100 >= 10")
@@ -674,6 +718,12 @@ def switch_history(spark, d):
     return metrics.last_n(signals.switches(_decisions(spark, d)), "tick", 200).select("tick", "to")
 
 
+@query(f"WITH {SIG.removeprefix('WITH ')}, dec AS ({DECIDED}), act AS (SELECT *, coalesce(lag(policy) OVER (ORDER BY tick), 'LRU') AS f FROM dec WHERE samples >= 200), sw AS (SELECT tick, f, policy FROM act WHERE policy <> f) SELECT coalesce((SELECT arg_max(policy, tick) FROM sw), 'LRU') AS current_policy, true AS auto_switch, signals.*, (SELECT count(*) FROM sw) AS switches, (SELECT '[' || coalesce(string_agg('{{\"tick\":' || tick || ',\"from\":\"' || f || '\",\"to\":\"' || policy || '\"}}', ',' ORDER BY tick), '') || ']' FROM sw) AS history FROM signals ORDER BY tick DESC LIMIT 1")
+def eviction_detail(spark, d):
+    """The policy in force, the last signals and the newest 200 switches, in one row."""
+    return signals.detail(_signals(spark, d), signals.switches(_decisions(spark, d)))
+
+
 @query(f"WITH {S.REPLAY}, {RING}, {S.KEYS}, {S.replicas(2)}, alive AS (SELECT r.key, op, hit, CASE WHEN nodes[1] = 'node-2' THEN nodes[2] ELSE nodes[1] END AS target, nodes[1] = 'node-2' AS moved FROM replayed r JOIN reps USING (key)) SELECT target, count(*) AS ops, count(*) FILTER (moved) AS failed_over, count(*) FILTER (hit) AS hits FROM alive GROUP BY target")
 def routed_ops(spark, d):
     """Operations by the node that takes them while node-2 is dead."""
