@@ -383,6 +383,9 @@ def cms_aged(spark, d):
 
 
 # -- simulator -------------------------------------------------------------
+SIM = f"WITH RECURSIVE {S.LOG}, {PLACED}, "
+
+
 def _node_log(spark, d):
     return _placed(spark, d, _log(spark, d))
 
@@ -394,27 +397,27 @@ def lru_read_through_hits(spark, d):
     return simulate.lru_read_through(_node_log(spark, d), 20)
 
 
-@query()
+@query(SIM + S.simulated("'FIFO'", 20) + " SELECT * FROM simulated")
 def simulate_fifo(spark, d):
     return simulate.simulate(_node_log(spark, d), ["FIFO"], max_entries=20)
 
 
-@query()
+@query(SIM + S.simulated("'LRU'", 20) + " SELECT * FROM simulated")
 def simulate_lru(spark, d):
     return simulate.simulate(_node_log(spark, d), ["LRU"], max_entries=20)
 
 
-@query()
+@query(SIM + S.simulated("'LFU'", 20) + " SELECT * FROM simulated")
 def simulate_lfu(spark, d):
     return simulate.simulate(_node_log(spark, d), ["LFU"], max_entries=20)
 
 
-@query()
+@query(SIM + S.simulated("'TINY_LFU'", 20) + " SELECT * FROM simulated")
 def simulate_tinylfu(spark, d):
     return simulate.simulate(_node_log(spark, d), ["TINY_LFU"], max_entries=20)
 
 
-@query()
+@query(SIM + S.simulated("'LRU'", max_bytes=160) + " SELECT * FROM simulated")
 def simulate_bytes_cap(spark, d):
     return simulate.simulate(_node_log(spark, d), ["LRU"], max_bytes=160)
 
@@ -432,7 +435,10 @@ def simulate_adaptive(spark, d):
     return simulate.simulate(_node_log(spark, d), ["LRU"], max_entries=20, switch_at=sorted(at))
 
 
-@query()
+COMPARED = SIM + S.simulated("'FIFO', 'LRU', 'LFU', 'TINY_LFU'", 20) + ", per AS (SELECT policy, sum(hits)::BIGINT AS hits, sum(misses)::BIGINT AS misses, sum(evictions)::BIGINT AS evictions, round(sum(hits) / (sum(hits) + sum(misses)), 6) AS hit_ratio FROM simulated GROUP BY policy)"
+
+
+@query(COMPARED + " SELECT *, rank() OVER (ORDER BY hit_ratio DESC) = 1 AS best FROM per")
 def policy_comparison(spark, d):
     got = simulate.simulate(_node_log(spark, d), list(simulate.POLICIES), max_entries=20)
     per = got.groupBy("policy").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"), F.sum("evictions").alias("evictions"))
@@ -665,7 +671,7 @@ def zipf_cdf(spark, d):
     return workloads.zipf_cdf(spark, 100).select("rank", F.round("cdf", 6).alias("cdf"))
 
 
-@query()
+@query(COMPARED + " SELECT policy, '| ' || policy || ' | ' || hits || ' | ' || evictions || ' | ' || printf('%.1f', hit_ratio * 100) || '% |' AS line FROM per")
 def benchmark_report(spark, d):
     """A Markdown line for each policy."""
     r = policy_comparison(spark, d)

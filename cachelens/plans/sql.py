@@ -80,3 +80,27 @@ emas AS (SELECT * FROM emah JOIN emaw USING (tick)),
 signals AS (SELECT tick, samples, round(hit_rate, 6) AS hit_rate, round(write_ratio, 6) AS write_ratio, round(hit_rate_ema, 6) AS hit_rate_ema, round(write_ratio_ema, 6) AS write_ratio_ema, round(skew, 6) AS skew, round(working_set, 6) AS working_set, round(coalesce(sequential, 0), 6) AS sequential
  FROM base JOIN emas USING (tick) JOIN skews USING (tick) LEFT JOIN seqs USING (tick))"""
 )
+
+
+def simulated(policies: str, max_entries: int = 1 << 62, max_bytes: int = 1 << 62) -> str:
+    """CTEs up to `simulated`: counters of capped stores by node and policy, by a step for each operation.
+
+    A store is a list of entries; since is the step that set an entry's place among equals. uses counts every
+    touch of a key that ever came: what the sketch says, unless keys meet in all of its rows. No single
+    value is taken to be larger than max_bytes.
+    """
+    entry = "{'k': key, 'exp': %s, 'size': %s, 'used': coalesce(e.used, 0) + 1, 'since': CASE WHEN policy = 'FIFO' THEN coalesce(e.since, i) ELSE i END}"
+    return f"""ops AS MATERIALIZED (SELECT owner AS node, row_number() OVER (PARTITION BY owner ORDER BY event_id) AS i, key, op, ts, ttl, size_bytes::BIGINT AS size FROM log JOIN own USING (key)),
+run(node, policy, i, es, uses, hits, misses, expirations, evictions, writes, deletes, peak) AS (
+ SELECT node, policy, 0::BIGINT, []::STRUCT(k VARCHAR, exp BIGINT, size BIGINT, used BIGINT, since BIGINT)[], []::STRUCT(k VARCHAR, c BIGINT)[], 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT node FROM ops), unnest([{policies}]) t(policy)
+ UNION ALL
+ SELECT node, policy, i, list_filter(es1, lambda x: NOT list_contains(gone, x.k)), uses1, hits + hit::INT, misses + (op = 'GET' AND NOT hit)::INT, expirations + dead::INT, evictions + len(gone), writes + (op = 'PUT')::INT, deletes + (op = 'DELETE' AND e IS NOT NULL)::INT, greatest(peak, len(es1) - len(gone))
+ FROM (SELECT *, list_transform(line[1:least(need, (len(es1) + 2) // 2)], lambda x: x.k) AS gone
+  FROM (SELECT *, CASE WHEN op <> 'PUT' THEN 0 ELSE greatest(len(es1) - {max_entries}, len(list_filter(range(len(line) + 1), lambda m: list_sum(list_transform(es1, lambda x: x.size)) - coalesce(list_sum(list_transform(line[1:m], lambda x: x.size)), 0) > {max_bytes})), 0) END AS need
+   FROM (SELECT *, list_transform(list_sort(list_transform(low, lambda x: {{'a': CASE policy WHEN 'LFU' THEN x.used WHEN 'TINY_LFU' THEN list_filter(uses1, lambda u: u.k = x.k)[1].c ELSE 0 END, 'b': x.since, 'x': x}})), lambda s: s.x) AS line
+    FROM (SELECT *, CASE WHEN policy = 'TINY_LFU' THEN list_transform(list_sort(list_transform(list_filter(es1, lambda x: x.k <> key), lambda x: {{'b': x.since, 'x': x}}))[1:5], lambda s: s.x) ELSE list_filter(es1, lambda x: x.k <> key) END AS low
+      FROM (SELECT *, CASE WHEN op = 'PUT' OR hit THEN list_append(list_filter(es, lambda x: x.k <> key), CASE WHEN hit THEN {entry % ("e.exp", "e.size")} ELSE {entry % ("ts + ttl", "size")} END) WHEN op = 'DELETE' OR dead THEN list_filter(es, lambda x: x.k <> key) ELSE es END AS es1,
+        CASE WHEN policy = 'TINY_LFU' AND (op = 'PUT' OR hit) THEN list_append(list_filter(uses, lambda u: u.k <> key), {{'k': key, 'c': coalesce(list_filter(uses, lambda u: u.k = key)[1].c, 0) + 1}}) ELSE uses END AS uses1
+       FROM (SELECT *, op = 'GET' AND e IS NOT NULL AND NOT dead AS hit FROM (SELECT *, op = 'GET' AND coalesce(e.exp <= ts, false) AS dead
+        FROM (SELECT r.* EXCLUDE (i), o.* EXCLUDE (node), list_filter(es, lambda x: x.k = o.key)[1] AS e FROM run r JOIN ops o ON o.node = r.node AND o.i = r.i + 1))))))))),
+simulated AS (SELECT node, policy, hits, misses, expirations, evictions, writes, deletes, len(es)::BIGINT AS entries, coalesce(list_sum(list_transform(es, lambda x: x.size)), 0)::BIGINT AS bytes, round(coalesce(hits / nullif(hits + misses, 0), 0), 6) AS hit_ratio, peak AS peak_entries FROM run QUALIFY row_number() OVER (PARTITION BY node, policy ORDER BY i DESC) = 1)"""
