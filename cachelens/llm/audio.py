@@ -12,7 +12,10 @@ checksums, and gives samples and the byte offset of each frame.
 
 Defined results: a null or empty text is a payload of padding alone; bytes
 without a frame give 0 frames and duration 0; broken checksums and skipped bytes
-are counted; a truncated last frame is not counted as a frame.
+are counted; a truncated last frame is not counted as a frame; of two headers that both fit the
+first one counts; repeated rows and keys give a row each, equal texts equal values; texts of any
+length are stored whole; columns beside key and text are not read, whatever their names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

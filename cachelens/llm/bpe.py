@@ -9,7 +9,9 @@ the first merge that crossed a boundary in the whole would be the first to
 cross it in the pair as well. Decoding concatenates halves up the same tree.
 
 Defined results: a null text counts as empty and gives no ids; lone matches
-that are tokens give that token; text of any length is encoded whole.
+that are tokens give that token; of merges of equal rank the leftmost comes first; text of any
+length is encoded whole; repeated rows and keys give a row each; columns beside key and text are
+not read, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ records it wins, so no record moves between the old shards.
 
 Defined results: a null key hashes as the word null; equal keys share a shard;
 equal rows are counted once and dealt consecutive slots, so one key may hold any share
-of the rows; an empty table gives an empty result; columns named like the
+of the rows; null texts have size 1 and the checksum of no bytes; texts of any length are summed whole; an empty table gives an empty result; columns named like the
 output's are not read.
 """
 

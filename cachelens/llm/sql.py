@@ -30,7 +30,7 @@ def _fits(rule: str) -> str:
 
 
 def _by_rule(value) -> str:
-    return "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{value(r, v)}'" for r, v in sorted(DEFAULT_RULES, key=lambda x: -len(x[0]))) + " END"
+    return "CASE " + " ".join(f"WHEN {_fits(r)} THEN '{value(r, v)}'" for r, v in sorted(DEFAULT_RULES, key=lambda x: len(x[0]))[::-1]) + " END"
 
 
 def _level(k: int) -> str:

@@ -11,7 +11,10 @@ cells before the shuffle.
 
 Defined results: a null URL or one without :// has empty host and path; no
 labelled URL of a class means ratio 0 and threshold 0, that is, everything is
-allowed; equal URLs get equal verdicts; an empty table gives an empty result.
+allowed; a score that equals the threshold is allowed; equal URLs get equal verdicts, each row its
+own; URLs of any length are scored whole; of rules of equal length that fit, the later in the
+list counts; columns beside url and those in keep are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

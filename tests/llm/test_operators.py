@@ -29,6 +29,15 @@ def docs(spark, texts, lang="en"):
 ODD = [None, "", " \n\t", "a", "…", "é" * 3000, "word " * 4000, "same text here", "same text here", "<|endoftext|> x", "İstanbul ſ ŉ 漢字 \x1c\x85"]
 
 
+CLASH = "doc_id long, text string, k string, t string, n_bytes string, media string, n_tokens string, ids string"
+
+
+def clashing(spark):
+    """A repeated row, two texts of one key, a null key, and columns named like the operators' own."""
+    rows = [(1, "one two"), (1, "one two"), (1, "three"), (None, "four"), (None, None), (2, "")]
+    return spark.createDataFrame([(i, t, *"uvwxyz") for i, t in rows], CLASH)
+
+
 # 1 ------------------------------------------------------------------------
 def test_ann_recall_and_exact_scores(spark, small):
     df = spark.read.parquet(f"{small}/embeddings.parquet")
@@ -474,6 +483,12 @@ def test_audio_round_trip(spark):
     assert rows[7]["feature"] == rows[8]["feature"] and audio.store_column(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_audio_of_repeated_and_null_keys(spark):
+    df = clashing(spark)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["payload_sha256"]) for r in audio.store_column(df).collect())
+    assert got == sorted((str(r["doc_id"]), len((r["text"] or "").encode()), hashlib.sha256(audio.payload_of(r["text"])[1]).hexdigest()) for r in df.collect())
+
+
 def test_audio_resynchronises():
     stream = audio.write(*reversed(audio.payload_of("payload " * 300)))
     whole = audio.read(stream)
@@ -597,6 +612,14 @@ def test_bpe_equals_the_library(spark, small, library):
         assert x["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
+def test_bpe_of_repeated_and_null_keys_and_of_nothing(spark, library):
+    df, path = clashing(spark), P.path("byte_bpe_multi_50k.tiktoken")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids"]) for r in bpe.encode_column(df, path, P.PATTERN, ids=True).collect())
+    want = [(str(r["doc_id"]), library.encode_ordinary(r["text"] or "")) for r in df.collect()]
+    assert got == sorted((k, len(ids), ids) for k, ids in want)
+    assert bpe.encode_column(df.limit(0), path, P.PATTERN).collect() == []
+
+
 def test_bpe_tree_on_long_matches(library):
     b = bpe.loaded(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     r = random.Random(1)
