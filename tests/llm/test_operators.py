@@ -640,3 +640,34 @@ def test_noise_is_told_from_languages(spark):
     assert langid.train(df).predict(noise)[2] == [0.0] * len(noise)
     again = langid.noise_of(langid.windows_of(noise[0].encode()))
     assert again.shape == (3, langid.LENGTH) and again.min() >= 0 and again.max() < langid.N_CLASSES and len(langid.noise_of(again[:0])) == 0
+
+
+def test_training_takes_rows_beyond_the_sample(spark):
+    keys = [r["id"] for r in spark.range(4000).where(~langid.held_out(F.col("id"))).limit(1600).collect()]
+    words = [("kiki", "koko"), ("mumu", "momo"), ("zaza", "zuzu"), ("vava", "vuvu")]
+    rows = [(k, " ".join(words[i % 4] * 12), "ab"[i % 4 // 2]) for i, k in enumerate(keys)]
+    asked = spark.createDataFrame([(i, " ".join(w * 9), None) for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows, asked.schema)
+    model = langid.train(df, sample=1)  # a sample of one row a language cannot know both of its word pairs
+    assert [r["lang_pred"] for r in langid.predict_column(asked, model, [F.col("doc_id")]).orderBy("doc_id").collect()] == list("aabb")
+    again = langid.train(df.repartition(7, "text"), sample=1)  # the same rows in another layout are the same model
+    assert np.array_equal(again.out, model.out) and np.array_equal(again.two, model.two)
+
+
+def test_every_row_has_the_same_weight_in_training():
+    r = np.random.default_rng(5)
+    net = langid.ByteCnn(["a", "b", "c"])
+    x, y = r.integers(0, langid.N_CLASSES, (9, langid.LENGTH)), r.integers(0, 3, 9)
+    got, want = net.slopes(langid.Predictor(net), x, y, np.full(9, 1 / 9)), net.step(x, y)[1]
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    short, long = (0, b"abc def"), (1, bytes(r.integers(97, 123, 20_000).tolist()))
+    one, two, both = net.lesson([short]), net.lesson([long]), net.lesson([short, long])
+    assert all(np.allclose(both[k], (one[k] + two[k]) / 2, atol=1e-6) for k in both)
+
+
+def test_cut_is_the_quantile_of_all_rows(spark):
+    r = np.random.default_rng(8)
+    for values in (r.random(3000), r.random(2000) ** 0.01, np.full(900, 0.99), np.array([0.2, 0.999]), np.array([0.98]), np.repeat([0.5, 0.995, 1.0], [9980, 10, 10])):
+        df = spark.createDataFrame([(float(v),) for v in values], "noise double")
+        assert abs(langid.least_cut(df) - max(langid.SURE, np.quantile(values, langid.HELD_SHARE))) < 1e-12
+    assert langid.least_cut(spark.createDataFrame([], "noise double")) == langid.SURE
