@@ -31,10 +31,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def tidy(spark: SparkSession) -> None:
+    """Once the driver's heap has grown to half of its bound: plans, broadcasts and shuffle files of finished steps go, and the heap shrinks again."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there and a lost executor costs nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
